@@ -6,19 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm import bpe, minhash, rules
 from strandline.llm._common import table
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def vocabulary() -> str:
     import public_tokenizers
 
-    from strandline.llm.bpe import encode_documents
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rules.judge(table(spark, sf_dir, "documents")).select(*columns, "failures", "policy")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+QUERIES: dict[str, Query] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_minhash_fingerprints": op6_minhash_fingerprints,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
