@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, minhash, rules
+from strandline.llm import bpe, minhash, quality, rules
 from strandline.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).select(*columns, "failures", "policy")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_minhash_fingerprints": op6_minhash_fingerprints,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
