@@ -205,22 +205,18 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 640, size: int = 32, rate:
 
 
 def _calibrated(m: np.ndarray, y: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each group the margin at which most of its rows fall on the right side; of all rows, where a group has few."""
-
-    def best(m: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(m, kind="stable")
-        m, y = m[order], y[order]
-        right = np.concatenate([[0], np.cumsum(y == 0)]) + np.concatenate([np.cumsum(y[::-1] == 1)[::-1], [0]])
-        cuts = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
-        at = np.flatnonzero(right == right.max())
-        return float(cuts[at[len(at) // 2]])
-
-    every = best(m, y)
-    out = np.full(len(GROUPS), every)
-    for g in range(len(GROUPS)):
-        if min((y[group == g] == 1).sum(), (y[group == g] == 0).sum()) >= 20:
-            out[g] = best(m[group == g], y[group == g])
-    return out
+    """For each group the shift of its margins that makes its labels likeliest, drawn towards that of all groups if it is small."""
+
+    def best(m: np.ndarray, y: np.ndarray, near: float, pull: float) -> float:
+        shift = near
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(m - shift, -30, 30)))
+            step = ((p - y).sum() - pull * (shift - near)) / ((p * (1 - p)).sum() + pull)
+            shift += float(np.clip(step, -1, 1))
+        return shift
+
+    every = best(m, y, 0.0, 2.0)
+    return np.array([best(m[group == g], y[group == g], every, 2.0) for g in range(len(GROUPS))])
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = MAX_TRAIN) -> Convolution:
