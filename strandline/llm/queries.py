@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, minhash, quality, rules, simhash, toxicity
+from strandline.llm import bpe, lm, minhash, quality, rules, simhash, toxicity
 from strandline.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return rules.judge(table(spark, sf_dir, "documents")).select(*columns, "failures", "policy")
@@ -48,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_minhash_fingerprints": op6_minhash_fingerprints,
+    "op8_lm_score": op8_lm_score,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
