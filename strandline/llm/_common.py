@@ -65,3 +65,8 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is: a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, lm, minhash, quality, rules, simhash, toxicity
+from strandline.llm import bpe, lm, minhash, pii, quality, rules, simhash, toxicity
 from strandline.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op3_personal_data": op3_personal_data,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_minhash_fingerprints": op6_minhash_fingerprints,
