@@ -213,3 +213,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     held = doc_crc() % 4 == 2
     out = score(docs, train(docs, labels, ~held, max_train))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: Additive, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score reaches ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def start():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = np.array([measurements(t or "") for t in batch.column(at).to_pylist()])
+            return batch.filter(pa.array(shared.value.score(x) >= threshold))
+
+        return each
+
+    return map_texts(docs, start, docs.schema)

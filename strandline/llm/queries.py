@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, lm, minhash, pii, quality, rules, simhash, toxicity
+from strandline.llm import bpe, lm, minhash, mixing, pii, quality, rules, shards, simhash, toxicity
 from strandline.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"), max_repeats=2.0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,10 @@ def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.manifest(table(spark, sf_dir, "documents"), key=20260101)
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -52,11 +60,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
     "op3_personal_data": op3_personal_data,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_minhash_fingerprints": op6_minhash_fingerprints,
+    "op7_training_order": op7_training_order,
     "op8_lm_score": op8_lm_score,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm._common import map_texts, materialise, texts_of
@@ -52,16 +52,17 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed number."""
+    """``doc_id, h`` (a hash of the text) and ``fp``, the fingerprint as a signed number."""
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fps)], ["doc_id", "h", "fp"])
 
         return each
 
-    return map_texts(docs.select("doc_id", "text"), start, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return map_texts(rows, start, "doc_id bigint, h bigint, fp bigint")
 
 
 def _cell(fp: Column, half: int) -> Column:
@@ -182,12 +183,32 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and the component of each distinct one as ``fp, root``."""
+    prints = materialise(fingerprints(docs), "fingerprints")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    of = components(links(distinct.select("fp")))
+    named = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, named
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; the component is named by its least id."""
-    prints = materialise(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "fingerprints")
-    groups = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    of = components(links(groups.select("fp")))
-    named = groups.join(of, groups["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints, named = _resolved(docs)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(names, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, less all but one of each component: that of least id, then least text hash."""
+    prints, named = _resolved(docs)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    best = prints.groupBy("fp").agg(F.min(first).alias("first")).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = best.select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("none", "id", "h")])
+    keyed = docs.withColumns({
+        "__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__h": F.xxhash64("text"),
+    })
+    same = Window.partitionBy("__none", "__id", "__h").orderBy("__h")  # rows that are copies with one id
+    kept = keyed.join(chosen, ["__none", "__id", "__h"], "left_semi")
+    return kept.withColumn("__k", F.row_number().over(same)).where("__k = 1").select(*docs.columns)
