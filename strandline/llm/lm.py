@@ -11,8 +11,9 @@ and every update adds up gradients that Spark tasks compute from their share of
 expected feature counts, as iterative scaling does. Scores are read from log-probabilities of
 the batch's distinct contexts, which numpy computes from the sparse features.
 
-Counting avoids a row for each token: documents are dealt to blocks of bounded size by hash, a block reports each distinct word
-once, and gets its count back the same way. So a very frequent word has one row a block.
+Counting avoids a row for each token: every task packs its documents into compressed blocks of bounded size, which are written
+once; a block reports each distinct word once, and gets its count back the same way. So a very frequent word has one row a
+block, and texts travel packed.
 
 A null text is the empty text: no words and one end mark. An empty table or one without training rows is scored with counts
 of zero. Repeated rows count and score as often as they come; other columns are ignored.
@@ -28,6 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +40,9 @@ END = b""  # no word is empty
 HEAD, TAIL = 112, 16  # classes of single words, and of all other words
 CLASSES = HEAD + TAIL
 HASHES = 1 << 15
-BLOCK_BYTES = 4 << 20
-LEAST_BLOCKS = 48
+BLOCK_BYTES = 12 << 20  # of text; a longer document is a block of its own
 STEPS = 8
+PARTS = 4  # tasks that share the gradient
 PACE = 0.4
 
 
@@ -96,37 +99,64 @@ def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return a * (CLASSES + 1) + b
 
 
-def _block_words(blocks: DataFrame) -> DataFrame:
-    """``block, word, n``: each distinct word of a block once, with its training tokens."""
+def _packed(docs: DataFrame, held: str) -> DataFrame:
+    """``block, payload``: documents of each task in compressed Arrow batches of some BLOCK_BYTES of text."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(held).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {}
+        from pyspark import TaskContext
+
+        first, k = TaskContext.get().partitionId() << 32, 0
+        held: list[pa.RecordBatch] = []
         size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for block, words in seen.items():
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for part in held:
+                    w.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+
+        for batch in batches:
+            ends = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES - size, side="right")) - at)
+                held.append(batch.slice(at, n))
+                size += int(ends[at + n - 1] - (ends[at - 1] if at else 0))
+                at += n
+                if size >= BLOCK_BYTES or at < batch.num_rows:
+                    yield out()
+                    held, size, k = [], 0, k + 1
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, "block bigint, payload binary")
+
+
+def _unpacked(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
+
+
+def _block_words(blocks: DataFrame) -> DataFrame:
+    """``block, word, n``: each distinct word of a block once, with its training tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+                rows, words = _unpacked(payload), Counter()
+                for text, held in zip(rows.column("text").to_pylist(), rows.column("held_out").to_pylist()):
+                    if held:
+                        for w in tokens(text):
+                            words[w] += 0
+                    else:
+                        words.update(tokens(text))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(words), pa.int32()), pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())],
+                    [pa.array(np.full(len(words), block)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())],
                     ["block", "word", "n"],
                 )
-            seen.clear()
 
-        for batch in batches:
-            for block, text, held in zip(*(batch.column(c).to_pylist() for c in ("block", "text", "held_out"))):
-                words = seen.setdefault(block, Counter())
-                found = tokens(text)
-                if held:
-                    for w in found:
-                        words.setdefault(w, 0)
-                else:
-                    words.update(found)
-                size += len(found)
-            if size > 3_000_000:
-                yield from out()
-                size = 0
-        yield from out()
-
-    return blocks.mapInArrow(run, "block int, word binary, n bigint")
+    return blocks.mapInArrow(run, "block bigint, word binary, n bigint")
 
 
 def _statistics(blocks: DataFrame, head: dict[bytes, int]) -> DataFrame:
@@ -137,21 +167,23 @@ def _statistics(blocks: DataFrame, head: dict[bytes, int]) -> DataFrame:
         known: dict[bytes, int] = dict(shared.value)
         sums = np.zeros(((CLASSES + 1) ** 2) * CLASSES, np.int32)
         for batch in batches:
-            for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
-                if held:
-                    continue
-                found = tokens(text)
-                classes = _classes(found, known)
-                np.add.at(sums, contexts(classes, np.array([0])) * CLASSES + classes, 1)
-            if len(known) > 400_000:
-                known = dict(shared.value)
+            for payload in batch.column("payload").to_pylist():
+                rows = _unpacked(payload)
+                for text, held in zip(rows.column("text").to_pylist(), rows.column("held_out").to_pylist()):
+                    if held:
+                        continue
+                    classes = _classes(tokens(text), known)
+                    np.add.at(sums, contexts(classes, np.array([0])) * CLASSES + classes, 1)
+                if len(known) > 400_000:
+                    known = dict(shared.value)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(sums[at].astype(np.int64))],
             ["context", "class", "n"],
         )
 
-    return blocks.mapInArrow(run, "context int, class int, n bigint").groupBy("context", "class").agg(F.sum("n").alias("n"))
+    summed = blocks.select("payload").mapInArrow(run, "context int, class int, n bigint").groupBy("context", "class").agg(F.sum("n").alias("n"))
+    return summed.repartition(PARTS, "context")
 
 
 def _classes(found: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -188,22 +220,8 @@ def _gradient(statistics: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, f
             ["row", "g", "gain"],
         )
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        gain = 0.0
-        for b in batches:
-            gain += sum(b.column("gain").to_pylist())
-            for r, g in zip(b.column("row").to_pylist(), b.column("g").to_pylist()):
-                x = np.frombuffer(g, np.float32)
-                sums[r] = sums[r] + x if r in sums else x.astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary()), pa.array([gain] + [0.0] * (len(sums) - 1))],
-                ["row", "g", "gain"],
-            )
-
-    kind = "row int, g binary, gain double"
-    got = statistics.mapInArrow(run, kind).repartition(4, "row").mapInArrow(added, kind).toArrow()  # HASHES rows at most
+    # contexts of different tasks share a few hundred features only, so this is about HASHES rows
+    got = statistics.mapInArrow(run, "row int, g binary, gain double").toArrow()
     full = np.zeros((HASHES, CLASSES), np.float32)
     for r, g in zip(got.column("row").to_pylist(), got.column("g").to_pylist()):
         full[r] += np.frombuffer(g, np.float32)
@@ -224,31 +242,20 @@ def _train(statistics: DataFrame) -> np.ndarray:
     return weights
 
 
-def blocks_of(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 = 2") -> DataFrame:
-    """``doc_id, text, held_out, block``: blocks of some BLOCK_BYTES each."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(held).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Scores of all documents by a model of those whose crc32 of the id doesn't leave 2 when divided by 7.
+def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 = 2") -> DataFrame:
+    """Scores of all documents by a model of those for which ``held`` is false.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
     """
     spark = docs.sparkSession
-    # written once, so that a recomputed task can't deal rows to other blocks
-    blocks = materialise(blocks_of(docs).select("doc_id", "text", "held_out", "block"), "blocks")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = _block_words(blocks.repartition(parts, "block"))
-    same = Window.partitionBy("word")  # as many rows as blocks at most
+    blocks = materialise(_packed(docs, held), "blocks")  # so that a recomputed task can't pack otherwise
+    same = Window.partitionBy("word")  # as many rows as blocks
     counted = materialise(
-        words.groupBy("block", "word").agg(F.sum("n").alias("n")).select(
-            "block", "word", "n", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")
+        _block_words(blocks).select(
+            "block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")
         ),
         "words",
-    )
+    )
     once = counted.where("first and c > 0")
     total, distinct = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = once.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(HEAD - 1).select("word").collect()
@@ -273,6 +280,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         index = dict(zip(names, range(len(names))))
         counts = words.column("c").to_numpy()
         class_of = np.array([m.class_of(w) for w in names], np.int64)
+        rows = _unpacked(rows.column("payload")[0].as_py())
         found = [tokens(t) for t in rows.column("text").to_pylist()]
         sizes = np.array([len(x) for x in found], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
