@@ -11,13 +11,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from strandline.functions import lexicons as lx
+from strandline.functions.arrow import batched
 from strandline.functions.text import PUNCTUATION, array_of, digits_to_letters, let, tokens, vowel_share
 
 DATE = "struct<day:int,month:int,year:int,raw:string,format:string>"
-_STEMS = sorted({s: n for n, stems in lx.MONTH_STEMS.items() for s in stems}.items(), key=lambda x: len(x[0]), reverse=True)
+_STEMS = sorted({s: n for n, stems in lx.MONTH_STEMS.items() for s in stems.split()}.items(), key=lambda x: len(x[0]), reverse=True)
 _DAY = r"(\d{1,2})\s*p[:.]?n[äa]"
 
 
@@ -56,19 +56,19 @@ def dates_of(text: str, fixed_months: bool = False) -> list[dict]:
             add(m, "numeric", day, month, None if not year else int(year) + 1900 * (len(year) == 2))
     for m in filter(free, _LONG[fixed_months].finditer(text)):
         if (month := _month(m[2])) is not None:
-            day = int(m[1] or m[3] or 0)
-            add(m, "finnish_long", day if 1 <= day <= 31 else None, month, int(m[4]) if m[4] else None)
+            day = m[1] or m[3]
+            add(m, "finnish_long", int(day) if day and int(day) <= 31 else None, month, int(m[4]) if m[4] else None)
     for m in filter(free, _YEAR.finditer(text)):
         add(m, "year_only", None, None, int(m[1] or m[2]))
     return out
 
 
-@pandas_udf(f"array<{DATE}>")
+@batched(f"array<{DATE}>")
 def dates(text: pd.Series) -> pd.Series:
     return text.map(lambda t: dates_of(t or ""))
 
 
-@pandas_udf(f"array<{DATE}>")
+@batched(f"array<{DATE}>")
 def dates_fixed(text: pd.Series) -> pd.Series:
     """With inflected month names."""
     return text.map(lambda t: dates_of(t or "", True))
@@ -89,7 +89,7 @@ def truncations_of(text: str) -> list[tuple[str, int]]:
     return [(w, at) for w, at in found if w.lower() not in lx.ABBREVIATIONS]
 
 
-@pandas_udf("array<struct<fragment:string,position:int>>")
+@batched("array<struct<fragment:string,position:int>>")
 def truncations(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"fragment": w, "position": at} for w, at in truncations_of(t or "")])
 
@@ -127,28 +127,28 @@ def rivers(text: Column, stems=lx.RIVER_STEMS) -> Column:
     return let(F.split(text, any_stem.replace("(?iuU)(?<!\\w)(?:", "(?iuU)(?<!\\w)(?=").removesuffix(")") + ")"), found)
 
 
-def keyword_hits(rows: DataFrame, keywords: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, ord, keyword, position`` of all, also overlapping, hits in the lower-cased text.
+def keyword_hits(rows: DataFrame, keywords: tuple[str, ...], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep, text, ord, keyword, position`` of all, also overlapping, hits in the lower-cased text.
 
     Splitting before each keyword gives pieces that start at its hits; running lengths are their positions.
     """
-    low = F.lower(F.col(text))
-    parts = None
-    for k, word in enumerate(keywords):
-        pieces = F.split(low, r"(?=\Q" + word + r"\E)")
-        hits = F.aggregate(
-            pieces,
+    none = F.expr("cast(array() as array<struct<ord:int,keyword:string,position:int>>)")
+
+    def places(word: str) -> Column:
+        return F.aggregate(
+            F.split("__low", r"(?=\Q" + word + r"\E)"),
             F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
-            lambda acc, p, w=word: F.struct(
+            lambda acc, p: F.struct(
                 (acc["at"] + F.length(p)).alias("at"),
-                F.when(F.startswith(p, F.lit(w)), F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out"),
+                F.when((acc["at"] > 0) | F.startswith(F.col("__low"), F.lit(word)), F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out"),
             ),
             lambda acc: acc["out"],
         )
-        # most texts have no hit, and are not split
-        one = F.when(F.contains(low, F.lit(word)), F.transform(hits, _hit(k, word))).otherwise(F.expr("cast(array() as array<struct<ord:int,keyword:string,position:int>>)"))
-        parts = one if parts is None else F.concat(parts, one)
-    return rows.select(key, text, F.explode(parts).alias("hit")).select(key, text, "hit.*")
+
+    # most texts have no hit, and are not split
+    parts = [F.when(F.contains(F.col("__low"), F.lit(w)), F.transform(places(w), _hit(k, w))).otherwise(none) for k, w in enumerate(keywords)]
+    found = rows.select(*keep, text, F.lower(text).alias("__low")).select(*keep, text, F.concat(*parts).alias("__hits"))
+    return found.select(*keep, text, F.explode("__hits").alias("hit")).select(*keep, text, "hit.*")
 
 
 def _hit(k: int, word: str):

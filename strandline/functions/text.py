@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import lexicons as lx
 
 PUNCTUATION = ".,;:!?\"'()[]"
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f​‌‍﻿]"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u200b\u200c\u200d\ufeff]"
 #: What both cleaners do to dashes and quotes; the parser and the normaliser differ in U+201A and U+2012.
 CLEAN_SIGNS = (("—", " -- "), ("–", " - "), *((c, '"') for c in "“”„"), *((c, "'") for c in "‘’‚"))
 NORMAL_SIGNS = (("—", " -- "), ("–", " - "), ("‒", " - "), *((c, '"') for c in "“”„‚"), *((c, "'") for c in "‘’"))
@@ -25,6 +26,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def lines(c: Column) -> Column:
+    """Parts between line ends of any kind."""
+    return F.split(F.regexp_replace(c, r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", "\n"), "\n")
+
+
 def tokens(c: Column) -> Column:
     """White-space separated parts, none empty."""
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
@@ -42,8 +48,8 @@ def array_of(words: Iterable[str]) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Drops rule lines and lines without letters, straightens quotes and dashes, removes control signs and runs of blanks."""
-    lines = F.split(F.regexp_replace(c, r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]", "\n"), "\n")
-    kept = F.filter(lines, lambda x: ~strip(x).rlike(r"^[-=_*~+]{3,}$") & ((strip(x) == "") | x.rlike(f"[{lx.LETTERS}]")))
+    lines_of = lines(c)
+    kept = F.filter(lines_of, lambda x: ~strip(x).rlike(r"^[-=_*~+]{3,}$") & ((strip(x) == "") | x.rlike(f"[{lx.LETTERS}]")))
     out = F.regexp_replace(_replaced(F.array_join(kept, "\n"), CLEAN_SIGNS), CONTROL, "")
     return F.coalesce(strip(F.regexp_replace(out, r"[ \t]{2,}", " ")), F.lit(""))
 
@@ -117,35 +123,21 @@ def rejoin_hyphens(c: Column) -> Column:
 
 def straighten(c: Column) -> Column:
     """Dashes, quotes, invisible signs and runs of blanks; without the repair of split words."""
-    out = F.regexp_replace(_replaced(c, NORMAL_SIGNS), r"[​‌‍﻿­]", "")
+    out = F.regexp_replace(_replaced(c, NORMAL_SIGNS), r"[\u200b\u200c\u200d\ufeff\u00ad]", "")
     return F.regexp_replace(out, r"[ \t]{2,}", " ")
 
 
 def merge_split_words(c: Column, common=lx.SPACE_COMMON, blocked=lx.SPACE_BLOCKED) -> Column:
-    """Joins a word that OCR cut in two: a fragment and the word after it, never three in a row."""
-    common_words, blocked_words = array_of(sorted(common)), array_of(sorted(blocked))
-
-    def fragment(w: Column) -> Column:
-        head = w.rlike("^[A-ZÅÄÖ][a-zåäö]{0,2}$")
-        short = w.rlike(r"(?U)^\p{Ll}") & w.rlike("[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]$") & F.length(w).between(2, 4)
-        return head | (short & ~F.array_contains(blocked_words, F.lower(w)))
-
-    def goes_on(w: Column) -> Column:
-        return w.rlike(r"^\p{Ll}") & (F.length(w) >= 3) & ~F.array_contains(common_words, w)
-
-    # each word with whether it may start and whether it may end a pair; a run of pairs is taken from its left
-    def fold(ws: Column) -> Column:
-        marked = F.transform(ws, lambda w: F.struct(w.alias("w"), fragment(w).alias("a"), goes_on(w).alias("b")))
-        empty = F.struct(F.lit("").alias("text"), F.lit(False).alias("open"), F.lit(True).alias("first"))
-
-        def step(acc: Column, x: Column) -> Column:
-            joins = acc["open"] & x["b"]
-            sep = F.when(acc["first"] | joins, F.lit("")).otherwise(F.lit(" "))
-            return F.struct(F.concat(acc["text"], sep, x["w"]).alias("text"), (x["a"] & ~joins).alias("open"), F.lit(False).alias("first"))
-
-        return F.aggregate(marked, empty, step, lambda acc: acc["text"])
+    """Joins a word that OCR cut in two: a fragment and the word after it, never three in a row.
 
-    return let(F.split(c, " "), fold)
+    One pattern takes both words, so matches can't overlap and each pair is taken from the left, in one pass over the text.
+    """
+    whole = "|".join(re.escape(w) for w in sorted(blocked))
+    stays = "|".join(re.escape(w) for w in sorted(common))
+    consonants = "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"
+    fragment = rf"[A-ZÅÄÖ][a-zåäö]{{0,2}}\n?|(?!(?iu:{whole})(?: |\z))\p{{Ll}}[^ ]{{0,2}}[{consonants}]"
+    goes_on = rf"(?!(?:{stays})(?: |\z))\p{{Ll}}[^ ]{{2,}}"
+    return F.regexp_replace(c, rf"(?<![^ ])({fragment}) ({goes_on})", "$1$2")
 
 
 def normalize_unicode(c: Column) -> Column:
@@ -179,7 +171,7 @@ def is_header(c: Column) -> Column:
                 F.when(n == 0, False)
                 .when(~F.exists(alpha, lambda w: F.length(w) > 3), False)
                 .when(n > 7, False)
-                .when(t.rlike(r"(?i)^(?:N:o|s\.|k\.|p\.)\s*\d"), False)
+                .when(t.rlike(r"(?iU)^(?:n:o|s\.|k\.|p\.)\s*\d"), False)
                 .when(F.forall(alpha, lambda w: (F.length(w) <= 1) | (F.upper(w) == w)), True)
                 .when((n <= 4) & upper(F.get(alpha, F.lit(0))), True)
                 .otherwise(F.size(F.filter(alpha, upper)) / n >= 0.6)
