@@ -48,8 +48,9 @@ class NgramScorer:
         def top(*keys: str) -> DataFrame:
             counts = grams.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("n"))
             total = counts.groupBy(*keys).agg(F.sum("n").alias("total")).where(F.col("total") >= least).orderBy(F.desc("total"), *keys).limit(most)
-            # a context has few distinct words but for the very common, whose ranking is cut by partial aggregation
-            best = counts.join(F.broadcast(total), list(keys)).groupBy(*keys, "total").agg(F.max_by(F.struct("m", "n"), F.struct("n", "m"), TOP).alias("best"))
+            place = Window.partitionBy(*keys).orderBy(F.desc("n"), "m")  # of at most `most` contexts
+            best = counts.join(F.broadcast(total), list(keys)).withColumn("k", F.row_number().over(place)).where(F.col("k") <= TOP)
+            best = best.groupBy(*keys, "total").agg(F.array_sort(F.collect_list(F.struct("k", "m", "n"))).alias("best"))
             return best.select(*keys, F.transform("best", lambda b: F.struct(b["m"].alias("m"), (b["n"] / F.col("total")).alias("p"))).alias("best"))
 
         return top("l", "r"), top("l")

@@ -74,10 +74,10 @@ def _climb(values: Column) -> Column:
 
 def depths(sims: Column) -> Column:
     """How far similarity rises to both sides of each place."""
-    return let(
-        F.struct(_climb(sims).alias("l"), F.reverse(_climb(F.reverse(sims))).alias("r")),
-        lambda p: F.transform(sims, lambda s, i: (F.get(p["l"], i) - s) + (F.get(p["r"], i) - s)),
-    )
+    return let(sims, lambda s: let(
+        F.struct(_climb(s).alias("l"), F.reverse(_climb(F.reverse(s))).alias("r")),
+        lambda p: F.transform(s, lambda v, i: (F.get(p["l"], i) - v) + (F.get(p["r"], i) - v)),
+    ))
 
 
 def valleys(depth: Column, headers: Column, threshold: float = DEPTH) -> Column:
@@ -85,9 +85,10 @@ def valleys(depth: Column, headers: Column, threshold: float = DEPTH) -> Column:
 
     A run begins at no header's gap, and is dropped if its deepest place is one.
     """
-    last = F.size(depth) - 1
     start = F.struct(F.lit(-1).alias("best"), F.lit(0.0).alias("most"), F.expr("cast(array() as array<int>)").alias("out"))
-    marked = F.transform(depth, lambda d, i: F.struct(d.alias("d"), i.alias("i"), ((d >= threshold) & (i < last)).alias("deep")))
+
+    def marked(of: Column) -> Column:
+        return F.transform(of, lambda d, i: F.struct(d.alias("d"), i.alias("i"), ((d >= threshold) & (i < F.size(of) - 1)).alias("deep")))
 
     def step(acc: Column, x: Column) -> Column:
         is_open = acc["best"] >= 0
@@ -100,7 +101,7 @@ def valleys(depth: Column, headers: Column, threshold: float = DEPTH) -> Column:
             F.when(closes & ~F.array_contains(headers, acc["best"]), F.array_append(acc["out"], acc["best"])).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(marked, start, step, lambda acc: acc["out"])
+    return F.aggregate(let(depth, marked), start, step, lambda acc: acc["out"])
 
 
 def header_gaps(texts: Column) -> Column:

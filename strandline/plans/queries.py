@@ -1,10 +1,8 @@
-"""Queries of the reference's operators, with the same in SQL."""
+"""All queries of the reference's operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from strandline.plans import catalog_queries, extract_queries, page_queries, stream_queries, text_queries
+from strandline.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "catalog_queries", "extract_queries", "page_queries", "stream_queries", "text_queries"]
