@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import lexicons as lx
 from strandline.functions.arrow import batched
-from strandline.functions.text import PUNCTUATION, array_of, digits_to_letters, let, tokens, vowel_share
+from strandline.functions.text import PUNCTUATION, array_of, digits_to_letters, exploded, let, tokens, vowel_share
 
 DATE = "struct<day:int,month:int,year:int,raw:string,format:string>"
 _STEMS = sorted({s: n for n, stems in lx.MONTH_STEMS.items() for s in stems.split()}.items(), key=lambda x: len(x[0]), reverse=True)
@@ -147,8 +147,8 @@ def keyword_hits(rows: DataFrame, keywords: tuple[str, ...], keep: tuple[str, ..
 
     # most texts have no hit, and are not split
     parts = [F.when(F.contains(F.col("__low"), F.lit(w)), F.transform(places(w), _hit(k, w))).otherwise(none) for k, w in enumerate(keywords)]
-    found = rows.select(*keep, text, F.lower(text).alias("__low")).select(*keep, text, F.concat(*parts).alias("__hits"))
-    return found.select(*keep, text, F.explode("__hits").alias("hit")).select(*keep, text, "hit.*")
+    low = rows.select(*keep, text, F.lower(text).alias("__low"))
+    return exploded(low, (*keep, text), F.concat(*parts), "hit").select(*keep, text, "hit.*")
 
 
 def _hit(k: int, word: str):
@@ -184,7 +184,7 @@ def ocr_rule(token: Column) -> Column:
 def ocr_flags(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, token, original, suggestion, rule_name, position, context`` of every suspicious token."""
     white = array_of(sorted(lx.WHITELIST))
-    words = rows.select(key, text, tokens(F.col(text)).alias("ws")).select(key, text, "ws", F.posexplode("ws").alias("token", "original"))
+    words = exploded(rows.select(key, text, tokens(F.col(text)).alias("ws")), (key, text, "ws"), F.col("ws"), "original", "token")
     bare = words.withColumn("bare", F.btrim("original", F.lit(PUNCTUATION)))
     kept = bare.where(
         ~F.array_contains(white, F.lower("bare")) & F.col("bare").rlike(f"[{lx.LETTERS}]") & (F.length("bare") >= 2)

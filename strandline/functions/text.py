@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import lexicons as lx
@@ -22,6 +22,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def exploded(rows: DataFrame, keep: Iterable[str], values: Column, name: str, place: str = "__place") -> DataFrame:
+    """``keep`` and a row for each of ``values``, which are computed once.
+
+    An inner explode lets the optimizer add a filter on the array's size below it, which computes the array again.
+    """
+    out = rows.select(*keep, F.posexplode_outer(values).alias(place, name)).where(F.col(place).isNotNull())
+    return out.drop(place) if place == "__place" else out
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -18,7 +18,7 @@ MATCH_COLUMNS = (
 def sentence_rows(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and each sentence of its text with its place: ``sentence_index, sentence``."""
     others = [c for c in rows.columns if c != text]
-    return rows.select(*others, F.posexplode(tx.sentences(F.col(text))).alias("sentence_index", "sentence"))
+    return tx.exploded(rows, others, tx.sentences(F.col(text)), "sentence", "sentence_index")
 
 
 def sentence_matches(rows: DataFrame, filename: str, key: str = "doc_id", text: str = "text", fixed_months: bool = False) -> DataFrame:
@@ -44,7 +44,7 @@ def sentence_matches(rows: DataFrame, filename: str, key: str = "doc_id", text:
 
 def count_by(rows: DataFrame, values: str, *keys: str, name: str = "value") -> DataFrame:
     """How often each element of an array column occurs, by ``keys``; counted by task before it is shuffled."""
-    return rows.select(*keys, F.explode(values).alias(name)).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n"))
+    return tx.exploded(rows, keys, F.col(values), name).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n"))
 
 
 def file_results(rows: DataFrame, matches: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

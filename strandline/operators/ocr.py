@@ -77,8 +77,8 @@ def model_flags(rows: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, k
     """
     shared = rows.sparkSession.sparkContext.broadcast(scorer)
     bare = lambda w: F.btrim(w, F.lit(tx.PUNCTUATION))
-    parts = rows.select(key, text, F.posexplode(tx.word_chunks(F.col(text), CHUNK)).alias("chunk", "sentence"))
-    words = parts.select(key, text, "chunk", tx.tokens(F.col("sentence")).alias("ws")).select(key, text, "chunk", "ws", F.posexplode("ws").alias("i", "original"))
+    parts = tx.exploded(rows, (key, text), tx.word_chunks(F.col(text), CHUNK), "sentence", "chunk")
+    words = tx.exploded(parts.select(key, text, "chunk", tx.tokens(F.col("sentence")).alias("ws")), (key, text, "chunk", "ws"), F.col("ws"), "original", "i")
     white = tx.array_of(sorted(lx.WHITELIST))
     words = words.withColumn("bare", bare(F.col("original"))).where(
         (F.length("bare") >= 3) & F.col("bare").rlike(f"[{lx.LETTERS}]") & ~F.array_contains(white, F.lower("bare")) & sp.ocr_rule(F.col("bare")).isNull()

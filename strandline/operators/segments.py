@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import lexicons as lx
-from strandline.functions.text import array_of, has_any_token, is_header, let, lines, normalize, strip, word_list
+from strandline.functions.text import array_of, exploded, has_any_token, is_header, let, lines, normalize, strip, word_list
 from strandline.operators.layout import column_order
 
 WINDOW, DEPTH, LEAST_WORDS = 3, 0.10, 2
@@ -27,17 +27,12 @@ def cosine(a: Column, b: Column) -> Column:
 
     def step(acc: Column, t: Column) -> Column:
         same, left = acc["w"] == t["w"], t["side"] == 0
-        return let(
-            F.struct(F.when(same, acc["x"]).otherwise(zero).alias("x"), F.when(same, acc["y"]).otherwise(zero).alias("y")),
-            lambda n: F.struct(
-                t["w"].alias("w"),
-                (n["x"] + F.when(left, 1).otherwise(0)).alias("x"),
-                (n["y"] + F.when(left, 0).otherwise(1)).alias("y"),
-                (acc["xy"] + F.when(left, n["y"]).otherwise(n["x"])).alias("xy"),
-                (acc["xx"] + F.when(left, 2 * n["x"] + 1).otherwise(0)).alias("xx"),
-                (acc["yy"] + F.when(left, 0).otherwise(2 * n["y"] + 1)).alias("yy"),
-            ),
-        )
+        x, y = F.when(same, acc["x"]).otherwise(zero), F.when(same, acc["y"]).otherwise(zero)
+        grown = lambda c, n: F.when(c, 2 * n + 1).otherwise(zero)  # noqa: E731  (n + 1)² - n²
+        return F.struct(
+            t["w"].alias("w"), (x + left.cast("bigint")).alias("x"), (y + (~left).cast("bigint")).alias("y"),
+            (acc["xy"] + F.when(left, y).otherwise(x)).alias("xy"), (acc["xx"] + grown(left, x)).alias("xx"), (acc["yy"] + grown(~left, y)).alias("yy"),
+        )
 
     found = F.aggregate(
         F.array_sort(F.concat(side(a, 0), side(b, 1))), start, step,
@@ -179,8 +174,8 @@ def article_segments(
     kept = F.filter("blocks", lambda b: b["word_count"] >= least_words)
     keep = [c for c in pages.columns if c not in ("blocks", "page_width")]
     texts = pages.select(*keep, F.transform(let(kept, lambda k: column_order(k, F.col("page_width"), columns)), lambda b: b["text"]).alias("__texts"))
-    cut = texts.withColumn("__segments", let(F.col("__texts"), lambda t: segments(t, boundaries(t, window, threshold, aligned))))
-    rows = cut.select(*keep, "__texts", F.posexplode("__segments").alias("segment", "__s"))
+    cut = let(F.col("__texts"), lambda t: segments(t, boundaries(t, window, threshold, aligned)))
+    rows = exploded(texts, (*keep, "__texts"), cut, "__s", "segment")
     rows = rows.withColumn("__own", F.slice("__texts", F.col("__s.first") + 1, F.col("__s.n_blocks")))
     rows = rows.select(*keep, "segment", joined(F.col("__own")).alias("full_text"), title(F.col("__own")).alias("header"), "__s.n_blocks", "__s.boundary_type")
     return rows.select(*keep, "segment", "full_text", "header", has_any_token(F.col("full_text")).alias("has_ice_keywords"), "n_blocks", "boundary_type")

@@ -32,7 +32,7 @@ WITH {SENTENCE_ROWS}
 SELECT lang, category, count(*) AS n FROM (SELECT DISTINCT doc_id, lang, i, category FROM hits) GROUP BY 1, 2""")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that match each category, by language."""
-    of = pages(spark, sf_dir).select("lang", F.explode(tx.sentences(F.col("text"))).alias("s"))
+    of = tx.exploded(pages(spark, sf_dir), ("lang",), tx.sentences(F.col("text")), "s")
     found = of.select("lang", F.array_distinct(F.transform(tx.categories(F.col("s")), lambda m: m["category"])).alias("c"))
     return extract.count_by(found, "c", "lang", name="category")
 

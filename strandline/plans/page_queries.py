@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import lexicons as lx
+from strandline.functions.text import exploded
 from strandline.operators import layout, reports, segments
 from strandline.plans.corpus import LAYOUTS, layouts
 from strandline.plans.registry import list_sql, query
@@ -16,7 +17,7 @@ columns AS (SELECT doc_id, CASE WHEN page_width = 0 THEN 4 WHEN s < 0.2 THEN 2 W
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    of = rows.select("doc_id", F.posexplode("ordered").alias("place", "b"))
+    of = exploded(rows, ("doc_id",), F.col("ordered"), "b", "place")
     return of.select("doc_id", "place", F.col("b.block_id").alias("block_id"))
 
 
@@ -62,7 +63,7 @@ sums AS (SELECT doc_id, i, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy
 SELECT b.doc_id, CAST(b.i AS INTEGER) AS gap, round(CASE WHEN xx > 0 AND yy > 0 THEN xy / (sqrt(xx) * sqrt(yy)) ELSE 0.0 END, 9) AS similarity
 FROM blocks b LEFT JOIN sums s ON s.doc_id = b.doc_id AND s.i = b.i""")
 def cosine_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = _texts(spark, sf_dir).select("doc_id", F.posexplode(segments.similarities(F.col("texts"))).alias("gap", "s"))
+    of = exploded(_texts(spark, sf_dir), ("doc_id",), segments.similarities(F.col("texts")), "s", "gap")
     return of.select("doc_id", "gap", F.round("s", 9).alias("similarity"))
 
 
@@ -70,19 +71,19 @@ def cosine_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texttiling_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depths of all gaps; a climb that stops has no SQL, so tests compare with plain Python."""
     sims = _texts(spark, sf_dir).select("doc_id", segments.similarities(F.col("texts")).alias("s"))
-    return sims.select("doc_id", F.posexplode(segments.depths(F.col("s"))).alias("gap", "d")).select("doc_id", "gap", F.round("d", 9).alias("depth"))
+    return exploded(sims, ("doc_id",), segments.depths(F.col("s")), "d", "gap").select("doc_id", "gap", F.round("d", 9).alias("depth"))
 
 
 @query()
 def valley_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where articles end, and why."""
-    of = _texts(spark, sf_dir).select("doc_id", F.explode(segments.boundaries(F.col("texts"))).alias("b"))
+    of = exploded(_texts(spark, sf_dir), ("doc_id",), segments.boundaries(F.col("texts")), "b")
     return of.select("doc_id", "b.gap", F.col("b.type").alias("boundary_type"))
 
 
 @query(f"WITH {LAYOUTS}, {HEADER} SELECT doc_id, CAST(i - 1 AS INTEGER) AS gap FROM headers WHERE is_header AND i > 0")
 def header_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("doc_id", F.explode(segments.header_gaps(F.col("texts"))).alias("gap"))
+    return exploded(_texts(spark, sf_dir), ("doc_id",), segments.header_gaps(F.col("texts")), "gap")
 
 
 @query(f"""

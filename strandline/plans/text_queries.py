@@ -90,7 +90,7 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {PAGES}, s AS (SELECT doc_id, {sentences_sql("text")} AS s FROM pages)
 SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sentence_index, unnest(s) AS sentence FROM s""")
 def sentences_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sentence_index", "sentence"))
+    return tx.exploded(pages(spark, sf_dir), ("doc_id",), tx.sentences(F.col("text")), "sentence", "sentence_index")
 
 
 @query(f"""
@@ -99,7 +99,7 @@ WITH {PAGES}, s AS (
         lambda x: {strip_sql("x")}), lambda x: length(x) > 10) AS s FROM pages)
 SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sentence_index, unnest(s) AS sentence FROM s""")
 def sentences_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences_before_capitals(F.col("text"))).alias("sentence_index", "sentence"))
+    return tx.exploded(pages(spark, sf_dir), ("doc_id",), tx.sentences_before_capitals(F.col("text")), "sentence", "sentence_index")
 
 
 @query(f"""
@@ -109,7 +109,7 @@ w AS (SELECT doc_id, i, {tokens_sql("s")} AS w FROM s)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS chunk, array_to_string(w[k + 1 : k + 60], ' ') AS text
 FROM (SELECT doc_id, i, w, unnest(generate_series(0, greatest(len(w) - 1, 0), 60)) AS k FROM w) WHERE len(w) > 0""")
 def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.word_chunks(F.col("text"))).alias("chunk", "text"))
+    return tx.exploded(table(spark, sf_dir, "documents").withColumnRenamed("text", "t"), ("doc_id",), tx.word_chunks(F.col("t")), "text", "chunk")
 
 
 @query(f"""
@@ -117,7 +117,7 @@ WITH {PAGES}
 SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[{L}]{{3,}}')) AS word FROM pages)
 WHERE NOT list_contains({list_sql(sorted(lx.STOPWORDS))}, word) GROUP BY 1""")
 def tokenize_no_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = pages(spark, sf_dir).select(F.explode(tx.word_list(F.col("text"))).alias("word"))
+    words = tx.exploded(pages(spark, sf_dir), (), tx.word_list(F.col("text")), "word")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -150,7 +150,7 @@ TOKENS = f"tokens AS (SELECT doc_id, unnest({tokens_sql('text')}) AS w FROM page
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = pages(spark, sf_dir).select(F.explode(tx.tokens(F.col("text"))).alias("w"))
+    words = tx.exploded(pages(spark, sf_dir), (), tx.tokens(F.col("text")), "w")
     return words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -255,5 +255,5 @@ def lexicon_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {PAGES}
 SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[{L}]+')) AS word FROM pages) WHERE list_contains({list_sql(sorted(lx.ICE_TOKENS))}, word)""")
 def lexicon_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = pages(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"([{L}]+)"), F.lit(1))).alias("word"))
+    words = tx.exploded(pages(spark, sf_dir), (), F.regexp_extract_all(F.lower("text"), F.lit(f"([{L}]+)"), F.lit(1)), "word")
     return words.intersect(spark.createDataFrame([(w,) for w in sorted(lx.ICE_TOKENS)], "word string"))
