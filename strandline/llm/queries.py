@@ -72,4 +72,19 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]"
+#: Only the rules can be said in SQL. The others hash, learn or iterate; tests/llm compares them with plain Python.
+ORACLES: dict[str, str] = {
+    "op9_quality_rules": f"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws FROM documents),
+windows AS (SELECT row, i, ws[i : i + 2] AS win FROM (SELECT row, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+repeated AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, win) > 1),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) AS o(k) GROUP BY row),
+lines AS (SELECT row, len(l) AS n, len(l) - len(list_distinct(l)) AS dup FROM (SELECT row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM w)),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(dup AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, l.n AS n_lines, len(regexp_extract_all(t, '!')) AS n_bangs
+    FROM w JOIN lines l USING (row) LEFT JOIN covered c USING (row)),
+f AS (SELECT *, {" + ".join(f"CASE WHEN {sql} THEN {rules.bit(name)} ELSE 0 END" for name, sql in rules.RULES.items())} AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {rules.mask("base-1")} <> 0 AS base_failed,
+       failures & {rules.mask("web-1")} = 0 AS kept, CAST(failures AS INTEGER) AS failures, 'web-1' AS policy FROM f""",
+}
