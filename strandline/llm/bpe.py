@@ -11,7 +11,8 @@ replays the gadgets that concern one cell, and cells are memoised when first use
 Exactly one path of the automaton spells a word. ``encode_word`` walks it by longest arcs first; a position that proves
 dead is never entered again, so a word takes time linear in its length. Decoding emits the labels of the arcs.
 
-Letters and digits are those of Python's Unicode tables; code points that these don't know yet count as signs. Nulls count as the
+Letters and digits are those of Python's Unicode tables; code points that these don't know yet count as signs, and
+marks are ordered by them. Nulls count as the
 empty text, which has no tokens. Rows are handled one by one, so repeated rows, ties and an empty
 table need nothing special; columns other than ``doc_id`` and ``text`` are ignored.
 """
