@@ -44,9 +44,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=MANIFEST_SCHEMA, multiLine=True, quote='"', escape='"').fillna("")
 
 
-def results(spark: SparkSession, folder: str) -> DataFrame:
-    """Result files of the sentence matcher; names that begin with ``_`` are summaries, which Spark's readers skip."""
-    return spark.read.json(folder, schema=RESULT_SCHEMA, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+def results(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Result files of the sentence matcher: one object a file, or one a line. Spark skips names that begin with ``_``: summaries."""
+    return spark.read.json(folder, schema=RESULT_SCHEMA, multiLine=not lines, recursiveFileLookup=True, pathGlobFilter="*.json")
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:

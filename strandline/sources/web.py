@@ -167,6 +167,8 @@ class TitleList(DataSource):
 
 
 def register(spark) -> None:
+    """Makes the sources known; filters reach them only if the session lets Python sources take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(IssueSearch)
     spark.dataSource.register(TitleList)
 

@@ -18,11 +18,16 @@ def arriving_pages(spark: SparkSession, folder: str, per_trigger: int = 1000) ->
     return alto.parse(files.select("path", "content"))
 
 
+CYCLE = "interval 146097 days"  # 400 years: watermarks begin in 1970, and earlier rows would count as late
+
+
 def matches_by_category(rows: DataFrame, time: str, text: str = "text", late: str = "30 days", window: str = "365 days") -> DataFrame:
-    """Matching sentences by category and window of time; rows later than ``late`` are left out, and state is bounded by it."""
-    timed = rows.withWatermark(time, late).select(time, F.explode(tx.sentences(F.col(text))).alias("sentence"))
-    found = timed.select(time, F.explode(F.array_distinct(F.transform(tx.categories(F.col("sentence")), lambda m: m["category"]))).alias("category"))
-    return found.groupBy(F.window(time, window).alias("window"), "category").agg(F.count(F.lit(1)).alias("n"))
+    """``since, until, category, n``: matching sentences by window of time. Later rows than ``late`` are left out, which bounds the state."""
+    moved = rows.select((F.col(time) + F.expr(CYCLE)).alias("at"), text).withWatermark("at", late)
+    sentences = moved.select("at", F.explode(tx.sentences(F.col(text))).alias("sentence"))
+    found = sentences.select("at", F.explode(F.array_distinct(F.transform(tx.categories(F.col("sentence")), lambda m: m["category"]))).alias("category"))
+    counts = found.groupBy(F.window("at", window).alias("w"), "category").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select((F.col("w.start") - F.expr(CYCLE)).alias("since"), (F.col("w.end") - F.expr(CYCLE)).alias("until"), "category", "n")
 
 
 def counts_by_window(events: DataFrame, time: str, key: str, late: str = "1 day", window: str = "1 day") -> DataFrame:
