@@ -74,14 +74,20 @@ def codes(text: Column) -> Column:
     return let(firsts, densified)
 
 
-def packed(of: Column) -> Column:
-    """The codes as hexadecimal digits, two for each bin."""
-    return F.lower(F.array_join(F.transform(of, lambda x: F.substring(F.hex(x.cast("int") + 256), 2, 2)), ""))
+def packed(text: Column) -> Column:
+    """The fingerprint of a text as binary, a byte for each bin."""
+    return F.unhex(F.array_join(F.transform(codes(text), lambda x: F.substring(F.hex(x.cast("int") + 256), 2, 2)), ""))
+
+
+def written(fingerprint: Column) -> Column:
+    """The bytes as hexadecimal digits."""
+    return F.lower(F.hex(fingerprint))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity, from 0 to 1."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    """Estimated Jaccard similarity of two packed fingerprints, from 0 to 1."""
+    byte = lambda f, i: F.substring(f, i, F.lit(1))
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), F.lit(0), lambda n, i: n + (byte(a, i) == byte(b, i)).cast("int"))
     chance = 1 / 256
     return F.greatest(F.lit(0.0), (same / F.lit(BINS) - F.lit(chance)) / F.lit(1 - chance))
 
@@ -108,10 +114,9 @@ def followers(keys: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, codes`` of every whole text."""
-    return docs.select("doc_id", codes(F.coalesce("text", F.lit(""))).alias("codes")).select(
-        "doc_id", packed(F.col("codes")).alias("fingerprint"), "codes"
-    )
+    """``doc_id, fingerprint, packed`` of every whole text."""
+    rows = docs.select("doc_id", packed(F.coalesce("text", F.lit(""))).alias("packed"))
+    return rows.select("doc_id", written(F.col("packed")).alias("fingerprint"), "packed")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -122,27 +127,27 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     links = followers(base.groupBy("doc_id", "h").agg(F.max(F.length("text")).cast("bigint").alias("n")))
-    base = base.withColumn("codes", codes(F.col("text")))
+    base = base.withColumn("own", packed(F.col("text")))
     asked = links.select(
         F.col("next.doc_id").alias("y"), F.col("next.h").alias("yh"),
         F.col("doc_id").alias("x"), F.col("h").alias("xh"), F.floor(F.col("n") / 3).cast("int").alias("m"),
     )
     given = (
         base.join(asked, F.col("doc_id").eqNullSafe(F.col("y")) & (F.col("h") == F.col("yh")))
-        .select("x", "xh", F.expr("substring(text, 1, m)").alias("prefix"), F.col("codes").alias("next_codes"))
+        .select("x", "xh", F.expr("substring(text, 1, m)").alias("prefix"), F.col("own").alias("theirs"))
         .dropDuplicates(["x", "xh"])
     )
     n = F.length("text")
     both = base.join(given, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("h") == F.col("xh"))).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "codes", "next_codes",
+        "doc_id", n.cast("bigint").alias("n_chars"), "own", "theirs",
         F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.col("prefix")).alias("edited"),
     )
-    return both.withColumn("edited_codes", codes(F.col("edited"))).select(
+    return both.withColumn("edit", packed(F.col("edited"))).select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        packed(F.col("codes")).alias("fingerprint"),
-        packed(F.col("edited_codes")).alias("edited_fingerprint"),
-        likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
-        likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
+        written(F.col("own")).alias("fingerprint"),
+        written(F.col("edit")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edit")).alias("near_edited"),
+        likeness(F.col("own"), F.col("theirs")).alias("near_next"),
     )
