@@ -79,13 +79,19 @@ class Words:
         return out
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts, each followed by padding of the greatest width, and where each starts."""
-        parts = [self.numbers(t) for t in texts]
-        starts = np.cumsum([0] + [len(p) + max(WIDTHS) for p in parts])
-        flat = np.zeros(starts[-1], np.int64)
-        for at, p in zip(starts, parts):
-            flat[at : at + len(p)] = p
-        return flat, starts[:-1]
+        return laid_out([self.numbers(t) for t in texts])
+
+
+def laid_out(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts, each followed by padding of the greatest width, and the first and last place of each.
+
+    A text's last place is its first padding: a filter that begins there still ends before the next text.
+    """
+    starts = np.cumsum([0] + [len(p) + max(WIDTHS) for p in parts])
+    flat = np.zeros(starts[-1], np.int64)
+    for at, p in zip(starts, parts):
+        flat[at : at + len(p)] = p
+    return flat, np.stack([starts[:-1], starts[1:] - max(WIDTHS) + 1], axis=1)
 
 
 @dataclass
@@ -104,7 +110,7 @@ class Convolution:
         w = np.concatenate([f[k] for f in self.filters for k in range(len(f))], axis=1)
         return np.concatenate([np.zeros((1, w.shape[1]), np.float32), e @ w])
 
-    def pooled(self, p: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def pooled(self, p: np.ndarray, flat: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The maximum of every filter over each text."""
         out, at = [], 0
         for f, b in zip(self.filters, self.biases):
@@ -113,13 +119,13 @@ class Convolution:
             for k in range(1, width):
                 total[:-k] += p[:, at + k * FILTERS : at + (k + 1) * FILTERS][flat[k:]]
             at += width * FILTERS
-            out.append(np.maximum(np.maximum.reduceat(total, starts, axis=0) + b, 0))
+            out.append(np.maximum(np.maximum.reduceat(total, places.ravel(), axis=0)[::2] + b, 0))
         return np.concatenate(out, axis=1)
 
     def margins(self, words: Words, texts: list[str]) -> np.ndarray:
-        flat, starts = words.batch(texts)
+        flat, places = words.batch(texts)
         p = self.project(np.array(words.rows, np.int64).reshape(-1, PARTS))
-        return self.pooled(p, flat, starts) @ self.out + self.bias
+        return self.pooled(p, flat, places) @ self.out + self.bias
 
     def score(self, words: Words, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
@@ -158,10 +164,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 640, size: int = 32, rate:
         rng.shuffle(used)
         for at in range(0, len(used), size):
             some = used[at : at + size]
-            starts = np.cumsum([0] + [len(numbers[i]) + max(WIDTHS) for i in some])
-            flat = np.zeros(starts[-1], np.int64)
-            for s, i in zip(starts, some):
-                flat[s : s + len(numbers[i])] = numbers[i]
+            flat, places = laid_out([numbers[i] for i in some])
             own, where = np.unique(flat, return_inverse=True)
             e = np.zeros((len(own), d), np.float32)
             real = own > 0
@@ -171,7 +174,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 640, size: int = 32, rate:
                 total = (e @ f[0])[where]
                 for k in range(1, len(f)):
                     total[:-k] += (e @ f[k])[where[k:]]
-                top = np.stack([total[s:t].argmax(axis=0) + s for s, t in zip(starts, starts[1:])])
+                top = np.stack([total[s:t].argmax(axis=0) + s for s, t in places])
                 best.append(top)
                 pooled.append(np.maximum(np.take_along_axis(total, top, axis=0) + b, 0))
             z = np.concatenate(pooled, axis=1)
