@@ -80,19 +80,12 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {SENTENCE_ROWS}
-SELECT doc_id, category, count(DISTINCT i) AS n FROM hits GROUP BY ROLLUP (doc_id, category) HAVING doc_id IS NULL OR category IS NOT NULL
-UNION ALL SELECT NULL, category, count(DISTINCT (doc_id, i)) FROM hits GROUP BY 2""")
+SELECT category, doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i, category FROM hits) GROUP BY ROLLUP (category, doc_id)""")
 def file_run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matching sentences by file and category, by category, and in all; counted once for each sentence and category."""
+    """Matching sentences by category and file, by category, and in all; a sentence counts once for each of its categories."""
     of = extract.sentence_rows(pages(spark, sf_dir).select("doc_id", "text"))
-    found = of.select("doc_id", "sentence_index", F.explode(F.array_distinct(F.transform(tx.categories(F.col("sentence")), lambda m: m["category"]))).alias("category"))
-    sums = found.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n"))
-    every = found.groupBy("category").agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("bigint").alias("doc_id"), "category", "n")
-    total = found.select("doc_id", "sentence_index").distinct().agg(F.count(F.lit(1)).alias("n"))
-    # the sum over all in the rollup counts places, which repeat between files
-    places = found.select("sentence_index").distinct().agg(F.count(F.lit(1)).alias("n"))
-    del total
-    return sums.unionByName(every).unionByName(places.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("category"), "n"))
+    found = tx.exploded(of, ("doc_id",), F.array_distinct(F.transform(tx.categories(F.col("sentence")), lambda m: m["category"])), "category")
+    return found.rollup("category", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {FOUND} SELECT doc_id, CAST(i AS INTEGER) AS sentence_index, river, matched_text, CAST(position AS INTEGER) AS position FROM mentions")

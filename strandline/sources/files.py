@@ -27,11 +27,6 @@ def _utf8(content: pd.Series) -> pd.Series:
     return content.map(lambda b: bytes(b).decode("utf-8", errors="ignore"))
 
 
-def _named(df: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
-    return df.withColumns({"path": path, "filename": F.regexp_extract(path, r"[^/]*$", 0)})
-
-
 def texts(spark: SparkSession, folder: str, recursive: bool = True, pattern: str = "*.txt", strict: bool = False) -> DataFrame:
     """``path, filename, text`` of text files. Bytes that are no UTF-8 are dropped; ``strict`` fails on them instead."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(folder)
