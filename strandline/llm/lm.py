@@ -41,6 +41,7 @@ HEAD, TAIL = 112, 16  # classes of single words, and of all other words
 CLASSES = HEAD + TAIL
 HASHES = 1 << 15
 BLOCK_BYTES = 12 << 20  # of text; a longer document is a block of its own
+SCORED_TOKENS = 200_000  # scored at once
 STEPS = 8
 PARTS = 4  # tasks that share the gradient
 PACE = 0.4
@@ -210,18 +211,18 @@ def _gradient(statistics: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, f
         gain = float((n * logs[where, label]).sum())
         g = -np.exp(logs) * np.bincount(where, n, len(own))[:, None]
         np.add.at(g, (where, label), n)
-        at = features(own)
-        full = np.zeros((HASHES, CLASSES), np.float64)
-        for k in range(at.shape[1]):
-            np.add.at(full, at[:, k], g)
-        used = np.flatnonzero(np.abs(full).sum(axis=1))
+        used, at = np.unique(features(own), return_inverse=True)
+        full = np.zeros((len(used), CLASSES), np.float64)
+        for column in at.reshape(len(own), -1).T:
+            np.add.at(full, column, g)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in full[used].astype(np.float32)], pa.binary()), pa.array([gain] + [0.0] * (len(used) - 1))],
+            [pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in full.astype(np.float32)], pa.binary()), pa.array([gain] + [0.0] * (len(used) - 1))],
             ["row", "g", "gain"],
         )
 
     # contexts of different tasks share a few hundred features only, so this is about HASHES rows
     got = statistics.mapInArrow(run, "row int, g binary, gain double").toArrow()
+    shared.destroy()  # each step's weights would stay on every executor's disk
     full = np.zeros((HASHES, CLASSES), np.float32)
     for r, g in zip(got.column("row").to_pylist(), got.column("g").to_pylist()):
         full[r] += np.frombuffer(g, np.float32)
@@ -276,25 +277,36 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
 
     def each(words: pa.Table, rows: pa.Table) -> pa.Table:
         m = model.value
-        names = [bytes(w) for w in words.column("word").to_pylist()]
-        index = dict(zip(names, range(len(names))))
         counts = words.column("c").to_numpy()
-        class_of = np.array([m.class_of(w) for w in names], np.int64)
+        index = {bytes(w): k for k, w in enumerate(words.column("word").to_pylist())}
+        class_of = np.fromiter(map(m.class_of, index), np.int32, len(index))
+        known, gain = counts > 0, np.log10(counts + 1.0)
+        weight = np.log10(m.mass)[class_of]
         rows = _unpacked(rows.column("payload")[0].as_py())
-        found = [tokens(t) for t in rows.column("text").to_pylist()]
-        sizes = np.array([len(x) for x in found], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        flat = np.fromiter((index[w] for x in found for w in x), np.int64, int(sizes.sum()))
-        classes = class_of[flat]
-        own, where = np.unique(contexts(classes, starts), return_inverse=True)
-        logs = log_probabilities(m.weights, own)[where, classes] / math.log(10)
-        gains = np.log10(counts + 1.0)[flat]
-        base = np.add.reduceat(gains, starts) - sizes * math.log10(m.tokens + m.distinct + 1)
-        score = np.add.reduceat(gains + logs - np.log10(m.mass)[classes], starts)
-        seen = np.add.reduceat((counts > 0)[flat].astype(np.int64), starts)
+        texts, sizes, sums = rows.column("text"), [], []
+
+        def scored(part: list[np.ndarray]) -> None:
+            flat = np.concatenate(part)
+            starts = np.cumsum([0] + [len(x) for x in part])[:-1]
+            classes = class_of[flat]
+            own, where = np.unique(contexts(classes, starts), return_inverse=True)
+            logs = log_probabilities(m.weights, own)[where, classes] / math.log(10)
+            each_sum = lambda x: np.add.reduceat(x, starts)
+            sums.append(np.stack([each_sum(known[flat].astype(np.float64)), each_sum(gain[flat]), each_sum(gain[flat] + logs - weight[flat])]))
+
+        part, held = [], 0
+        for k in range(len(texts)):  # words become numbers text by text, and some texts are scored at once
+            part.append(np.array([index[w] for w in tokens(texts[k].as_py())], np.int32))
+            sizes.append(len(part[-1]))
+            held += sizes[-1]
+            if held >= SCORED_TOKENS or k + 1 == len(texts):
+                scored(part)
+                part, held = [], 0
+        n = np.array(sizes, np.int64)
+        seen, base, score = np.concatenate(sums, axis=1)
         return pa.table({
-            "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": sizes, "n_known": seen,
-            "train_tokens": np.full(len(sizes), m.tokens, np.int64), "base_score": base, "score": score,
+            "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": n, "n_known": seen.astype(np.int64),
+            "train_tokens": np.full(len(n), m.tokens, np.int64), "base_score": base - n * math.log10(m.tokens + m.distinct + 1), "score": score,
         })
 
     kind = dict(docs.dtypes)["doc_id"]
