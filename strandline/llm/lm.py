@@ -44,7 +44,7 @@ BLOCK_BYTES = 12 << 20  # of text; a longer document is a block of its own
 SCORED_TOKENS = 200_000  # scored at once
 STEPS = 8
 PARTS = 4  # tasks that share the gradient
-PACE = 0.4
+PACE = 0.25  # four features are on at once
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -197,8 +197,8 @@ def _classes(found: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _gradient(statistics: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Sum of the tasks' gradients of the log-likelihood, and the log-likelihood."""
+def _gradient(statistics: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the tasks' gradients of the log-likelihood, and the tokens of each feature."""
     shared = statistics.sparkSession.sparkContext.broadcast(weights)  # HASHES x CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,25 +208,27 @@ def _gradient(statistics: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, f
         context, label, n = np.concatenate(rows).T
         own, where = np.unique(context, return_inverse=True)
         logs = log_probabilities(shared.value, own)
-        gain = float((n * logs[where, label]).sum())
-        g = -np.exp(logs) * np.bincount(where, n, len(own))[:, None]
+        size = np.bincount(where, n, len(own))
+        g = -np.exp(logs) * size[:, None]
         np.add.at(g, (where, label), n)
         used, at = np.unique(features(own), return_inverse=True)
-        full = np.zeros((len(used), CLASSES), np.float64)
+        full, mass = np.zeros((len(used), CLASSES), np.float64), np.zeros(len(used))
         for column in at.reshape(len(own), -1).T:
             np.add.at(full, column, g)
+            np.add.at(mass, column, size)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in full.astype(np.float32)], pa.binary()), pa.array([gain] + [0.0] * (len(used) - 1))],
-            ["row", "g", "gain"],
+            [pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in full.astype(np.float32)], pa.binary()), pa.array(mass)],
+            ["row", "g", "mass"],
         )
 
     # contexts of different tasks share a few hundred features only, so this is about HASHES rows
-    got = statistics.mapInArrow(run, "row int, g binary, gain double").toArrow()
+    got = statistics.mapInArrow(run, "row int, g binary, mass double").toArrow()
     shared.destroy()  # each step's weights would stay on every executor's disk
-    full = np.zeros((HASHES, CLASSES), np.float32)
+    full, mass = np.zeros((HASHES, CLASSES), np.float32), np.zeros(HASHES)
+    np.add.at(mass, got.column("row").to_numpy(), got.column("mass").to_numpy())
     for r, g in zip(got.column("row").to_pylist(), got.column("g").to_pylist()):
         full[r] += np.frombuffer(g, np.float32)
-    return full, float(sum(got.column("gain").to_pylist()))
+    return full, mass
 
 
 def _train(statistics: DataFrame) -> np.ndarray:
@@ -234,10 +236,9 @@ def _train(statistics: DataFrame) -> np.ndarray:
     weights = np.zeros((HASHES, CLASSES), np.float32)
     observed = None
     for _ in range(STEPS):
-        g, _ = _gradient(statistics, weights)
+        g, mass = _gradient(statistics, weights)
         if observed is None:  # under equal weights every class of a feature is expected alike
-            total = -g.min(axis=1, keepdims=True) * CLASSES  # exact where some class was never seen, a lower bound elsewhere
-            observed = np.maximum(g + total / CLASSES, 0)
+            observed = np.maximum(g + (mass / CLASSES)[:, None].astype(np.float32), 0)
         expected = np.maximum(observed - g, 0)
         weights += PACE * (np.log(observed + 2) - np.log(expected + 2))
     return weights
