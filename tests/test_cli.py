@@ -7,7 +7,7 @@ from tests.test_pages import ALTO
 
 
 def read(folder):
-    return {str(p.relative_to(folder)): p.read_text(encoding="utf-8") for p in pathlib.Path(folder).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}
+    return {str(p.relative_to(folder)): p.read_text(encoding="utf-8", errors="replace") for p in pathlib.Path(folder).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}
 
 
 def test_commands(spark, tmp_path):
