@@ -50,14 +50,24 @@ def doc_crc(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some SLICE_BYTES, so that only that much is held as Python objects at once."""
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` over Arrow batches, made once for each task by calling ``fn()``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
         for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+            for part in slices(batch):
+                yield each(part)
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 
 from strandline.llm._common import map_texts, texts_of
 
-CACHE_WORDS = 250_000  # runs of characters whose path a worker remembers, in each of two generations
+CACHE_WORDS = 150_000  # runs of characters whose path a worker remembers, in each of two generations
+_DOOR = (1 << 20) - 1
 _NEVER = 1 << 60
 _LETTERS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
@@ -87,6 +88,7 @@ class Automaton:
         self.memo: dict[int, bool] = {}
         self.seen: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
+        self.door = bytearray(_DOOR + 1)  # by hash: was it here before?
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
@@ -159,17 +161,20 @@ class Automaton:
 
     def _missing_chunk(self, chunk: str) -> tuple[int, str, str]:
         if len(self.seen) >= CACHE_WORDS:
-            self.seen, self.older = {}, self.seen
+            self.seen, self.older, self.door = {}, self.seen, bytearray(_DOOR + 1)
         if (out := self.older.get(chunk)) is not None:
             self.seen[chunk] = out
             return out
         words = (_ASCII if chunk.isascii() else _LETTERS).findall(chunk)
         ids = [i for w in words for i in self.encode_word("".join(map(self.to_symbols.__getitem__, w.encode())))]
-        if len(self.memo) >= 4 * CACHE_WORDS:
+        if len(self.memo) >= 2 * CACHE_WORDS:
             self.memo.clear()
         out = len(ids), " ".join(map(str, ids)), " ".join([self.label[i] for i in ids])
-        if len(chunk) <= 64:
-            self.seen[chunk] = out
+        if len(chunk) <= 64:  # most words come once: a word is remembered when it comes again
+            k = hash(chunk) & _DOOR
+            if self.door[k]:
+                self.seen[chunk] = out
+            self.door[k] = 1
         return out
 
     def pieces(self, text: str) -> list[tuple[int, str, str]]:
