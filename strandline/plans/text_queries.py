@@ -168,7 +168,7 @@ def digit_letter_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("w", fixed.alias("fixed"), "n").where("fixed <> w")
 
 
-REPEATED = "|".join(f"{c}{{4,}}" for c in "abcdefghijklmnopqrstuvwxyzåäöéèêàçôABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+REPEATED = "|".join(f"{chr(c)}{{4,}}" for c in range(0x30, 0x250) if chr(c).isalnum() or chr(c) == "_")  # no backreference in SQL
 WORD = r"\p{L}\p{N}\p{M}_"
 CONSONANTS = "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"
 BARE = "trim(w, '.,;:!?\"''()[]')"
