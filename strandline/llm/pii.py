@@ -1,11 +1,13 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
 Four base patterns find e-mail and IP addresses, card and phone numbers in whole texts. Their spans are the seeds. Seeds, and
-other tokens with a digit, are instances; the cue word and the sign before one (``account: 12345``, ``id = "..."``) is its
-lexical pattern. Patterns and instances form a bipartite graph of distinct values, over which Spark passes confidence back and
-forth: a pattern is as sure as the mean of its instances, an instance as the surest of its supported patterns. Patterns that
-have ``SUPPORT`` distinct seeds and reach ``CONFIDENCE`` find the identifiers that no base pattern knows, which become spans of
-kind ``id``. Base spans always stay, and no added span overlaps one. Tokens of over ``LONGEST`` code points are no instances.
+other tokens with a digit, are instances. The words around one are its lexical patterns: the word before it (with its sign, if
+one of ``: = #`` stands between, as in ``id = "..."``), the word after it, and both together. Patterns and instances form a
+bipartite graph of distinct values. Seeds are known; a pattern is as sure as the known share of its instances, once ``SUPPORT``
+of them are known; all instances of a pattern that reaches ``CONFIDENCE`` become known, and so support others, until nothing
+changes. In texts, confident patterns mark the identifiers that no base pattern knows, which become spans of kind ``id``; the
+word after alone is too weak a sign to mark one, it only passes knowledge on. Base spans always stay, and no added span
+overlaps one. Tokens of over ``LONGEST`` code points are no instances.
 
 Sums by pattern are partial before they are shuffled, so a frequent pattern is one row a task. A null text is the empty text.
 Each row is judged by its own text, so repeated rows, ties and equal ids are nothing special, and an empty table gives an empty
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from strandline.llm._common import map_texts, materialise, small, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "id")
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 3
+SUPPORT, CONFIDENCE = 5, 0.9
 LONGEST, LOOK = 128, 48
 SMALL = 100_000  # texts with added spans that may be broadcast
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,7 +38,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _STOP = re.compile(r"[\s\"'<>(),;]|\Z")
-_CUE = re.compile(r"(\w+)\s*([:=#])\s*[\"'(<\[]?\Z")
+_BEFORE = re.compile(r"(\w+)(\W*)\Z")
+_AFTER = re.compile(r"\W*(\w+)")
+_SIGN = re.compile(r"[:=#]")
 
 
 def luhn(digits: str) -> bool:
@@ -81,17 +85,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _pattern(text: str, start: int) -> str:
-    """The cue word and sign before an instance; empty if there are none."""
-    m = _CUE.search(text[max(0, start - LOOK) : start])
-    return f"{m[1].lower()} {m[2]}" if m else ""
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The word before a place, with the last sign between, and the word after it; empty if there are none."""
+    before, after = _BEFORE.search(text[max(0, start - LOOK) : start]), _AFTER.match(text[end : end + LOOK])
+    left = " ".join([before[1].lower(), *_SIGN.findall(before[2])[-1:]]) if before else ""
+    return left, after[1].lower() if after else ""
 
 
-def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, bool]]:
-    """``(start, end, pattern, seed)`` of every seed and every other token with a digit that stands in a pattern."""
-    out = [(a, b, p, True) for a, _, b in spans if (p := _pattern(text, a))]
-    if "=" not in text and ":" not in text and "#" not in text:
-        return out
+def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool]]:
+    """``(start, end, left, right, seed)`` of every seed and every other token with a digit that has a word beside it."""
+    out = [(a, b, *around, True) for a, _, b in spans if any(around := _around(text, a, b))]
     k, at = 0, 0
     while m := _DIGIT.search(text, at):
         a, at = m.start(), _STOP.search(text, m.start()).start()
@@ -100,11 +103,11 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
             a -= 1
         while b > a and text[b - 1] in ".:!?#$%&*|":
             b -= 1
-        if 5 <= b - a <= LONGEST and (p := _pattern(text, a)):
+        if 5 <= b - a <= LONGEST:
             while k < len(spans) and spans[k][2] <= a:
                 k += 1
-            if not any(s < b and a < e for s, _, e in spans[k : k + 8]):
-                out.append((a, b, p, False))
+            if not any(s < b and a < e for s, _, e in spans[k : k + 8]) and any(around := _around(text, a, b)):
+                out.append((a, b, *around, False))
     return out
 
 
@@ -114,10 +117,10 @@ def _key() -> list[Column]:
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, check, spans, found``: base spans, and the instances with their patterns, of every whole text."""
+    """``doc_id, key, check, spans, found``: base spans, and the instances with the words around, of every whole text."""
     kind = dict(docs.dtypes)["doc_id"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
+    found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("left", pa.string()), ("right", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,8 +129,8 @@ def extract(docs: DataFrame) -> DataFrame:
                 own = base_spans(t)
                 spans.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
                 seen.append([
-                    {"start": a, "end": b, "pattern": p, "value": hashlib.md5(t[a:b].encode()).hexdigest(), "seed": s}
-                    for a, b, p, s in instances(t, own)
+                    {"start": a, "end": b, "left": l, "right": r, "value": hashlib.md5(t[a:b].encode()).hexdigest(), "seed": s}
+                    for a, b, l, r, s in instances(t, own)
                 ])
             out = [batch.column(c) for c in ("doc_id", "key", "check")] + [pa.array(spans, span), pa.array(seen, found)]
             return pa.RecordBatch.from_arrays(out, ["doc_id", "key", "check", "spans", "found"])
@@ -137,30 +140,42 @@ def extract(docs: DataFrame) -> DataFrame:
     return map_texts(
         docs.select("doc_id", "text", *_key()), start,
         f"doc_id {kind}, key bigint, check bigint, spans array<struct<start:int,kind:int,end:int>>, "
-        "found array<struct<start:int,end:int,pattern:string,value:string,seed:boolean>>",
+        "found array<struct<start:int,end:int,left:string,right:string,value:string,seed:boolean>>",
     )
 
 
+def _patterns(*sides: str) -> Column:
+    """The patterns of an instance, of the given sides: ``l``, ``r`` or ``b`` for both."""
+    whole = {"l": F.col("left") != "", "r": F.col("right") != "", "b": (F.col("left") != "") & (F.col("right") != "")}
+    words = {"l": ["left"], "r": ["right"], "b": ["left", "right"]}
+    made = [F.when(whole[s], F.concat_ws("\n", F.lit(s), *words[s])) for s in sides]
+    return F.explode(F.array_compact(F.array(*made))).alias("pattern")
+
+
 def confident_patterns(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """``pattern`` of those that mark identifiers, by iterated scores over the graph of ``pattern, value, seed``."""
     edges = materialise(found.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    able = edges.groupBy("pattern").agg(F.count_if("seed").alias("n")).where(F.col("n") >= support).select("pattern")
+    able = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
     live = materialise(edges.join(able, "pattern"), "live")  # no other pattern can come to count
-    values = live.groupBy("value").agg(F.max("seed").cast("double").alias("sure"))
-    for _ in range(ROUNDS):
-        scored = live.join(values, "value").groupBy("pattern").agg(F.avg("sure").alias("score"))
-        known = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("score"))
-        values = materialise(live.join(scored, "pattern").groupBy("value").agg(F.max(known).alias("sure")), "values")
-    scored = live.join(values, "value").groupBy("pattern").agg(F.avg("sure").alias("score"), F.avg(F.col("seed").cast("double")).alias("share"))
-    return scored.where((F.col("score") >= confidence) & (F.col("share") >= 0.5)).select("pattern")
+    known, before = live.where("seed").select("value").distinct(), 0
+    while True:
+        marked = live.join(known.withColumn("known", F.lit(True)), "value", "left")
+        scored = marked.groupBy("pattern").agg(F.count("known").alias("k"), F.first("n").alias("n"))
+        sure = materialise(scored.where((F.col("k") >= support) & (F.col("k") / F.col("n") >= confidence)).select("pattern"), "sure")
+        now = sure.count()
+        if now == before:  # what is known only grows, and with it the confident patterns
+            return sure
+        before = now
+        known = materialise(known.unionByName(live.join(sure, "pattern").select("value")).distinct(), "known")
 
 
 def added_spans(read: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """``key, check, added``: the spans that confident patterns add, once for each text that has any."""
     found = read.select("key", "check", F.inline("found"))
-    sure = confident_patterns(found.select("pattern", "value", "seed"), support, confidence)
+    sure = confident_patterns(found.select(_patterns("l", "r", "b"), "value", "seed"), support, confidence)
     span = F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")
-    more = found.where("not seed").join(sure, "pattern").groupBy("key", "check").agg(F.array_sort(F.collect_set(span)).alias("added"))
+    more = found.where("not seed").select("*", _patterns("l", "b")).join(sure, "pattern")
+    more = more.groupBy("key", "check").agg(F.array_sort(F.collect_set(span)).alias("added"))
     return small(materialise(more, "added"), SMALL)
 
 

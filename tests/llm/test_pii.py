@@ -48,6 +48,23 @@ def test_patterns_with_many_seeds_find_unknown_identifiers(spark):
     assert out[7]["base_sha256"] == hashlib.sha256(b"email:14:33").hexdigest() and out[None]["n_email"] == 1
 
 
+def test_words_on_both_sides_and_confident_instances_lead_to_others(spark):
+    rows = [(i, f"write to u{i}@mail.example.org today") for i in range(80)]
+    rows += [(100, "write to zz-98765-q today"), (101, "see zz-98765-r there")]
+    # five values known only by a pattern without a sign are the support of a pattern that has no base seed
+    rows += [(200 + i, f"write to kk-{i}2345 today") for i in range(4)] + [(210 + i, f"member kk-{i}2345 left") for i in range(4)]
+    rows += [(220, "write to kk-92345 today"), (221, "member kk-92345 left"), (300, "member qq-55555 gone")]
+    # a pattern with too few known instances
+    rows += [(400 + i, f"item w{i}@mail.example.org sold") for i in range(6)] + [(410 + i, f"item nr-{i}7777 sold") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    assert out[100]["spans"] == "id:9:19" and out[101]["n_added"] == 0
+    assert all(out[i]["n_added"] == 1 for i in [*range(200, 204), 220, *range(210, 214), 221])
+    assert all(out[i]["n_added"] == 0 for i in [*range(400, 406), *range(410, 414)])
+    # five of its six values are known: 0.83
+    assert out[300]["n_added"] == 0
+
+
 def test_redact_keeps_columns_and_an_empty_table(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cc now", 15), (2, None, None)], "doc_id bigint, text string, n_chars bigint")
     assert {tuple(r) for r in pii.redact(docs).collect()} == {(1, "mail <email> now", 16), (2, None, None)}
