@@ -12,6 +12,13 @@ never as all pairs; a cell of more than ``CELL`` fingerprints is cut into chunks
 no task holds an unbounded group and no link is lost. Components come from alternating large-star and small-star steps over
 the links (Kiveris et al., "Connected components in MapReduce and beyond"), each written to the shared folder.
 
+``keep_one`` has a criterion of its own: texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
+more. Fingerprints of 64 bits can't tell these, as such pairs differ in some ten bits. Candidates are texts that share one of
+``BANDS`` bands of ``ROWS`` MinHash values, which a pair at 0.8 misses with a probability of 5e-8; each candidate pair is then
+verified on the whole sets. In a band's cell, first all are compared with the least; after that all pairs
+of different components are, so no link is lost. Where a large group of near copies does not come together in the first step, the
+pairs of the second grow with the square of its size.
+
 A null text is the empty text: its fingerprint is zero and links like any other. Null ids take part and count as greater than
 all others; rows with equal ids are rows of one document id with their own texts. Other columns are ignored.
 """
@@ -31,19 +38,27 @@ from strandline.llm._common import map_texts, materialise, texts_of
 SHINGLE = 3
 DISTANCE = 3
 CELL = 4096
+NEAR_SHINGLE, NEAR, BANDS, ROWS = 5, 0.8, 32, 4
 _BLOCK = 65_536
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """Bits set in over half the hashes of the text's shingles, as an unsigned number."""
+def _shingles(text: str, size: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined by spaces, and where each shingle starts and ends; no words have none."""
     words = text.encode().lower().split()  # of bytes: A-Z alone, and only ASCII spaces
-    if not words:
-        return 0
     joined = b" ".join(words)
+    if not words:
+        return joined, [], []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = size - 1 if len(words) > size else len(words) - 1
-    a, b = starts[: len(words) - last].tolist(), ends[last:].tolist()
+    return joined, starts[: len(words) - last].tolist(), ends[last:].tolist()
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """Bits set in over half the hashes of the text's shingles, as an unsigned number."""
+    joined, a, b = _shingles(text, size)
+    if not a:
+        return 0
     digest, votes = xxhash.xxh64_digest, np.zeros(64, np.int64)
     for k in range(0, len(a), _BLOCK):
         raw = b"".join([digest(joined[i:j], 42) for i, j in zip(a[k : k + _BLOCK], b[k : k + _BLOCK])])
@@ -183,28 +198,104 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows, and the component of each distinct one as ``fp, root``."""
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row; the component is named by its least id."""
     prints = materialise(fingerprints(docs), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     of = components(links(distinct.select("fp")))
     named = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return prints, named
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row; the component is named by its least id."""
-    prints, named = _resolved(docs)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(names, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, size: int = NEAR_SHINGLE) -> tuple[int, np.ndarray]:
+    """A hash of the text's words, and the sorted hashes of its distinct shingles."""
+    joined, a, b = _shingles(text, size)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(a, b)), np.uint64, len(a))
+    return xxhash.xxh64_intdigest(joined, 42), np.unique(hashes)
+
+
+_SALTS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The cell of each band: a hash of its MinHash values."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(hashes), 512):
+        least = np.minimum(least, ((hashes[k : k + 512] ^ _SALTS[0]) * _SALTS[1]).min(axis=1))
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)]
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, node, n, bands`` of every row; rows with the same words are one node."""
+
+    def start():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingle_set(t) for t in texts_of(batch)]
+            cells = np.array([bands(s) for _, s in found], np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(cells))
+            node, n = np.array([x for x, _ in found], np.uint64).view(np.int64), np.array([len(s) for _, s in found], np.int64)
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("h"), pa.array(node), pa.array(n), lists], ["doc_id", "h", "node", "n", "bands"]
+            )
+
+        return each
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return map_texts(rows, start, "doc_id bigint, h bigint, node bigint, n bigint, bands array<bigint>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``node, shingles`` of ``node, text``."""
+
+    def start():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingle_set(t)[1].view(np.int64) for t in texts_of(batch)]
+            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+        return each
+
+    return map_texts(texts, start, "node bigint, shingles array<bigint>")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links ``a, b`` of nodes with a similarity of ``NEAR`` or more: enough of them to connect whatever is linked."""
+    cells = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "n", F.explode("bands").alias("cell"))
+    own = Window.partitionBy("cell")
+    met = cells.select("cell", "node", "n", F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"))
+    met = materialise(met.where("least != most").drop("most"), "cells")
+    # one text of each node that meets another
+    of = nodes.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(of, "h").dropDuplicates(["node"])
+    sets = materialise(_sets(texts.select("node", "text")), "shingles")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+        both = F.size(F.array_intersect("s", "t"))
+        shared = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("all"))
+        return materialise(shared.where(F.col("both") / (F.col("all") - F.col("both")) >= NEAR).select("a", "b"), name)
+
+    stars = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    first = verified(stars, "stars")
+    roots = met.join(components(first), "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"))
+    roots = materialise(roots, "roots")
+    apart = roots.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("cell")
+    left = roots.join(apart, "cell")
+    right = left.select("cell", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    able = (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & (F.least("n", "m") >= NEAR * F.greatest("n", "m") - 1e-6)
+    pairs = left.join(right, "cell").where(able).select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(verified(materialise(pairs, "pairs"), "links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, less all but one of each component: that of least id, then least text hash."""
-    prints, named = _resolved(docs)
+    """The rows of ``docs``, with all columns, less all but one of each group that ``near_links`` connects: that of least id, then least text hash."""
+    prints = materialise(_nodes(docs), "nodes")
+    of = components(near_links(docs, prints))
+    named = prints.select("doc_id", "h", "node").join(of, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
-    best = prints.groupBy("fp").agg(F.min(first).alias("first")).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    best = named.groupBy("root").agg(F.min(first).alias("first"))
     chosen = best.select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("none", "id", "h")])
     keyed = docs.withColumns({
         "__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__h": F.xxhash64("text"),

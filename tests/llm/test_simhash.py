@@ -82,3 +82,33 @@ def test_documents(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert simhash.near_duplicates(docs.limit(0)).collect() == [] and simhash.keep_one(docs.limit(0)).collect() == []
     assert docs.where(F.lit(True)).count() == len(rows)
+
+
+def five_word_similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.encode().lower().split(), b.encode().lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_joins_similar_texts_whose_prints_differ(spark):
+    rng = random.Random(8)
+    rows, texts = [], []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        for edits in (0, 1, 2, 4):
+            some = list(words)
+            for at in rng.sample(range(len(some)), edits):
+                some[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(some))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    label = list(range(len(texts)))
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a // 4 * 4, a):
+            if five_word_similarity(texts[a], texts[b]) >= 0.8:
+                far += (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert far > 20
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+    assert len(set(label)) > 41
