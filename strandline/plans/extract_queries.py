@@ -220,10 +220,16 @@ p AS (SELECT doc_id, text, ord, keyword, unnest(list_filter(generate_series(1, l
 SELECT doc_id, CAST(ord AS INTEGER) AS ord, keyword, CAST(position AS INTEGER) AS position,
        {strip_sql("replace(substr(text, greatest(0, position - 40) + 1, position + length(keyword) + 40 - greatest(0, position - 40)), chr(10), ' ')")} AS snippet FROM p""")
 def keyword_windows_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords in context, of texts under 3000 code points: a feature of this report. ``keyword_windows`` takes all."""
+    """Keywords in context, of texts under 3000 code points: a feature of this report. ``keyword_windows_context`` takes all."""
     return extract.keyword_windows(pages(spark, sf_dir).where(F.length("text") < 3000), CONTEXT, window=40)
 
 
+@query()
+def keyword_windows_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords in context, over all texts; tested against plain Python."""
+    return extract.keyword_windows(pages(spark, sf_dir), CONTEXT, window=40)
+
+
 @query()
 def keyword_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event keyword in its context, over all texts; overlapping hits too slow in SQL are tested on small texts."""

@@ -127,3 +127,19 @@ def test_confusion_and_counts(spark):
     b = spark.createDataFrame([(1, "freeze"), (2, "freeze"), (4, "none")], "k int, t string")
     assert sorted(map(tuple, extract.confusion(a, b, "k", "g", "t").collect())) == [("freeze", "freeze", 1), ("freeze", "none", 1)]
     assert spark.range(1).select(extract.match_rate(F.lit(1), F.lit(3)), extract.match_rate(F.lit(0), F.lit(0)), tx.first_river(F.lit("Oulu ja KEMI"))).collect()[0][:] == (33.3, 0.0, "oulu")
+
+
+def test_keyword_windows_context_takes_long_texts(spark):
+    from strandline.plans import extract_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    want = []
+    for r in q.pages(spark, sf).select("doc_id", "text").collect():
+        low = r["text"].lower()
+        for word in q.CONTEXT:
+            for at in range(len(low)):
+                if low.startswith(word, at):
+                    want.append((r["doc_id"], word, at, r["text"][max(0, at - 40) : at + len(word) + 40].replace("\n", " ").strip()))
+    got = [(r["doc_id"], r["keyword"], r["position"], r["snippet"]) for r in q.keyword_windows_context(spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+    assert len(got) > q.keyword_windows_short(spark, sf).count()
