@@ -1,7 +1,7 @@
 """Training-order materialisation: token sequences in a keyed global order, as fixed-stride shards.
 
 Texts are cut into sequences of ``length`` tokens. Tokens are the UTF-8 bytes and an end mark, or ready ids from an integer
-array column. Sequences are numbered in input order; a keyed Feistel network over the next even number of bits, walked until
+array column; then the end mark and the padding are ``end`` and ``pad``, which must lie outside the ids. Sequences are numbered in input order; a keyed Feistel network over the next even number of bits, walked until
 it falls below the number of sequences, sends each number to its slot without a table and can be inverted. Ranges of slots
 are shards. A record has ``length`` little-endian 16-bit ids, so slot ``s`` lies at byte ``(s % records) * stride`` of shard
 ``s // records`` and a reader resumes at any slot by one seek.
@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._common import materialise
+from strandline.llm._common import materialise, slices
 
 LENGTH, RECORDS, END, PAD, ROUNDS = 2048, 4096, 256, 257, 6
 
@@ -60,7 +60,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, ids: str | None = None) ->
         from pyspark import TaskContext
 
         task, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows, part, size, payload = [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 raw = (t or "").encode() if ids is None else np.array(t or [], "<u2").tobytes()
@@ -83,13 +83,13 @@ def sequences(docs: DataFrame, length: int = LENGTH, ids: str | None = None) ->
     )
 
 
-def record(payload: bytes, n: int, length: int, wide: bool) -> bytes:
+def record(payload: bytes, n: int, length: int, wide: bool, end: int = END, pad: int = PAD) -> bytes:
     """Ids, the end mark if it falls into this sequence, and padding."""
-    out = np.full(length, PAD, "<u2")
+    out = np.full(length, pad, "<u2")
     body = np.frombuffer(payload, "<u2" if wide else np.uint8)
     out[: len(body)] = body
     if len(body) < n:
-        out[len(body)] = END
+        out[len(body)] = end
     return out.tobytes()
 
 
@@ -121,13 +121,15 @@ def manifest(docs: DataFrame, key: int, length: int = LENGTH, records: int = REC
     return _each_record(placed(docs, key, length, records, ids), length, records, ids is not None, None)
 
 
-def write_shards(docs: DataFrame, folder: str, key: int, length: int = LENGTH, records: int = RECORDS, ids: str | None = None) -> DataFrame:
+def write_shards(
+    docs: DataFrame, folder: str, key: int, length: int = LENGTH, records: int = RECORDS, ids: str | None = None, end: int = END, pad: int = PAD
+) -> DataFrame:
     """Write ``shard-*.bin`` under ``folder`` (any URI that pyarrow opens, shared by all executors) and return the manifest."""
-    out = _each_record(placed(docs, key, length, records, ids), length, records, ids is not None, folder)
+    out = _each_record(placed(docs, key, length, records, ids), length, records, ids is not None, folder, end, pad)
     return materialise(out, "manifest")
 
 
-def _each_record(rows: DataFrame, length: int, records: int, wide: bool, folder: str | None) -> DataFrame:
+def _each_record(rows: DataFrame, length: int, records: int, wide: bool, folder: str | None, end: int = END, pad: int = PAD) -> DataFrame:
     stride = 2 * length
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -142,10 +144,10 @@ def _each_record(rows: DataFrame, length: int, records: int, wide: bool, folder:
 
         if store:
             store.create_dir(root, recursive=True)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             hashes = []
             for payload, n, shard in zip(*(b.column(c).to_pylist() for c in ("payload", "n_tokens", "shard"))):
-                one = record(payload, n, length, wide)
+                one = record(payload, n, length, wide, end, pad)
                 hashes.append(hashlib.sha256(one).hexdigest())
                 if store:
                     if shard != open_shard:

@@ -50,3 +50,25 @@ def test_ready_ids_and_no_rows(spark, tmp_path):
     of = shards.write_shards(docs, f"file://{tmp_path}/i", key=1, length=2, records=8, ids="ids").collect()
     assert sorted((r["doc_id"], r["part"], r["n_tokens"]) for r in of) == [(1, 0, 2), (1, 1, 2), (2, 0, 1), (3, 0, 1)]
     assert shards.manifest(table(spark).limit(0), 1).collect() == []
+
+
+def test_query_writes_shards_of_vocabulary_ids(spark, monkeypatch, tmp_path):
+    from strandline.llm import bpe, queries
+
+    monkeypatch.setattr(queries, "shared_dir", lambda _: f"file://{tmp_path}")
+    sf = "/root/testdata/sf0.001"
+    of = queries.op7_training_order(spark, sf).collect()
+    (folder,) = (tmp_path / "strandline").iterdir()
+    read = list(shards.read_records(f"file://{folder}", 0, len(of), len(of)))
+    assert len(read) == len(of)
+    machine, n = bpe.automaton(str(queries.vocabulary())), queries.vocabulary_size()
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, sf, "documents").collect()}
+    parts = {}
+    for r in of:
+        raw = read[r["slot"]]
+        assert hashlib.sha256(raw.tobytes()).hexdigest() == r["record_sha256"] and (raw[r["n_tokens"] :] == n + 1).all()
+        parts.setdefault(r["doc_id"], []).append((r["part"], raw[: r["n_tokens"]].tolist()))
+    assert set(parts) == set(texts)
+    for i in sorted(texts)[:40]:
+        ids = [t for _, p in sorted(parts[i]) for t in p]
+        assert ids == (machine.encode(texts[i]) if texts[i] else []) + [n] and max(ids[:-1], default=0) < n
