@@ -60,14 +60,27 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in parts; what Arrow has freed goes back to the system after each."""
+    for batch in batches:
+        yield from slices(batch)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of some SLICE_BYTES: texts may be long, and a batch of 10,000 of them large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` over Arrow batches, made once for each task by calling ``fn()``."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
-        for batch in batches:
-            for part in slices(batch):
-                yield each(part)
+        for part in batches_of(batches):
+            yield each(part)
 
     return df.mapInArrow(run, schema)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -20,13 +19,6 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def vocabulary_size() -> int:
-    """One more than the greatest id, added tokens included."""
-    with open(vocabulary(), encoding="utf-8") as f:
-        of = json.load(f)
-    return 1 + max([*of["model"]["vocab"].values(), *(t["id"] for t in of.get("added_tokens") or [])])
-
-
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"), max_repeats=2.0)
 
@@ -53,9 +45,9 @@ def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of the shards that it writes to the shared folder."""
-    docs = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=True).select("doc_id", "ids")
-    n = vocabulary_size()
-    return shards.write_shards(docs, f"{shared_dir(spark)}/strandline/shards-{uuid.uuid4().hex}", key=20260101, ids="ids", end=n, pad=n + 1)
+    docs = table(spark, sf_dir, "documents")
+    encode, width, free = bpe.id_bytes(docs, vocabulary())
+    return shards.write_shards(docs, f"{shared_dir(spark)}/strandline/shards-{uuid.uuid4().hex}", 20260101, encode=encode, free=free, width=width)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,27 @@
 """Training-order materialisation: token sequences in a keyed global order, as fixed-stride shards.
 
-Texts are cut into sequences of ``length`` tokens. Tokens are the UTF-8 bytes and an end mark, or ready ids from an integer
-array column; then the end mark and the padding are ``end`` and ``pad``, which must lie outside the ids. Sequences are numbered in input order; a keyed Feistel network over the next even number of bits, walked until
-it falls below the number of sequences, sends each number to its slot without a table and can be inverted. Ranges of slots
-are shards. A record has ``length`` little-endian 16-bit ids, so slot ``s`` lies at byte ``(s % records) * stride`` of shard
-``s // records`` and a reader resumes at any slot by one seek.
+Every task lays its documents one after another, each followed by an end mark, and cuts the row of tokens into sequences of
+``length``; only a task's last sequence is padded. Tokens are the UTF-8 bytes, or what ``encode`` makes of the texts; the end
+mark and the padding are the two ids from ``free`` on, which lie outside the vocabulary. Ids have 16 bits, or 32 if they don't
+fit. Sequences are numbered in the order of the written table; a keyed Feistel network over the next even number of bits,
+walked until it falls below the number of sequences, sends each number to its slot without a table and can be inverted.
+Ranges of slots are shards, and every range goes to one task by its number alone. Slot ``s`` lies at byte
+``(s % records) * stride`` of shard ``s // records``, so a reader resumes at any slot by one seek.
 
 The numbering is that of the written sequence table, so a recomputed task can't change it. ``write_shards`` writes a shard to
 a name of its task attempt and renames it when complete, so a repeated task leaves whole files only.
 
-A null text is the empty text: one sequence of an end mark alone. Repeated rows are sequences of their own. An empty table has
-no shard. Other columns are ignored.
+The manifest has a row for each sequence: slot, shard, offset, tokens without padding, the hash of the record, and its pieces:
+which tokens of which document lie where. A null text is the empty text: an end mark alone. Repeated rows are documents of their
+own, ties need nothing, very long texts go on through as many sequences as they need. An empty table has no shard. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +29,10 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._common import materialise, slices
+from strandline.llm._common import batches_of, bound_batches, materialise, texts_of
 
-LENGTH, RECORDS, END, PAD, ROUNDS = 2048, 4096, 256, 257, 6
+LENGTH, RECORDS, ROUNDS = 1024, 4096, 6
+FREE = 256  # the first id that is no byte
 
 
 def _mix(x: np.ndarray, key: int, r: int, mask: int) -> np.ndarray:
@@ -52,87 +57,112 @@ def permute(numbers: np.ndarray, n: int, key: int, inverse: bool = False) -> np.
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int = LENGTH, ids: str | None = None) -> DataFrame:
-    """``doc_id, part, n_tokens, payload`` with the place ``task, k`` of each sequence; the payload is bytes, or 16-bit ids."""
+def as_bytes() -> Callable[[list[str]], list[bytes]]:
+    """The ids of texts where no vocabulary is given."""
+    return lambda texts: [np.frombuffer(t.encode(), np.uint8).astype("<u2").tobytes() for t in texts]
+
+
+def sequences(docs: DataFrame, length: int = LENGTH, encode=as_bytes, free: int = FREE, width: int = 2) -> DataFrame:
+    """``task, k, n_tokens, payload, pieces`` of each sequence, with its place in the task; the payload is the whole record."""
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
+    ids = f"<u{width}"
+    stride = length * width
+    end, pad = np.array([free], ids).tobytes(), np.array([free + 1], ids).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, k = TaskContext.get().partitionId(), 0
-        for batch in (part for whole in batches for part in slices(whole)):
-            rows, part, size, payload = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                raw = (t or "").encode() if ids is None else np.array(t or [], "<u2").tobytes()
-                width = 1 if ids is None else 2
-                n = len(raw) // width + 1
-                for at in range(0, n, length):
-                    rows.append(i)
-                    part.append(at // length)
-                    size.append(min(length, n - at))
-                    payload.append(raw[at * width : (at + length) * width])
-            if rows:
-                place = np.arange(k, k + len(rows))
-                k += len(rows)
-                out = [batch.column(0).take(pa.array(rows)), pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(payload, pa.binary())]
-                out += [pa.array(np.full(len(rows), task, np.int32)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "part", "n_tokens", "payload", "task", "k"])
-
-    return docs.select("doc_id", ids or "text").mapInArrow(
-        run, f"doc_id {kind}, part int, n_tokens int, payload binary, task int, k bigint"
+        task, k, ready = TaskContext.get().partitionId(), 0, encode()
+        held, pieces = bytearray(), []  # of the sequence begun: its bytes, and (document, its first token there, place, tokens)
+        payloads, owners, cuts, out = [], [], [0], None
+
+        def close() -> None:
+            payloads.append(bytes(held))
+            owners.extend(pieces)
+            cuts.append(len(owners))
+            held.clear()
+            pieces.clear()
+
+        def made(kind: pa.DataType) -> pa.RecordBatch:
+            nonlocal k, payloads, owners, cuts
+            place = np.arange(k, k + len(payloads))
+            k += len(payloads)
+            doc, begin, at, n = zip(*owners)
+            used = np.add.reduceat(np.array(n, np.int32), cuts[:-1])
+            inner = pa.StructArray.from_arrays(
+                [pa.array(doc, kind), pa.array(begin, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "first", "at", "n"]
+            )
+            columns = [
+                pa.array(np.full(len(place), task, np.int32)), pa.array(place), pa.array(used, pa.int32()), pa.array(payloads, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), inner),
+            ]
+            payloads, owners, cuts = [], [], [0]
+            return pa.RecordBatch.from_arrays(columns, ["task", "k", "n_tokens", "payload", "pieces"])
+
+        for batch in batches_of(batches):
+            out = batch.schema.field("doc_id").type
+            for doc, code in zip(batch.column("doc_id").to_pylist(), ready(texts_of(batch))):
+                code += end
+                for begin in _cuts(len(code), stride, len(held)):
+                    part = code[begin : begin + stride - len(held)]
+                    pieces.append((doc, begin // width, len(held) // width, len(part) // width))
+                    held += part
+                    if len(held) == stride:
+                        close()
+            if payloads:
+                yield made(out)
+        if held:
+            held += pad * ((stride - len(held)) // width)
+            close()
+            yield made(out)
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"task int, k bigint, n_tokens int, payload binary, pieces array<struct<doc_id:{kind},first:bigint,at:int,n:int>>"
     )
 
 
-def record(payload: bytes, n: int, length: int, wide: bool, end: int = END, pad: int = PAD) -> bytes:
-    """Ids, the end mark if it falls into this sequence, and padding."""
-    out = np.full(length, pad, "<u2")
-    body = np.frombuffer(payload, "<u2" if wide else np.uint8)
-    out[: len(body)] = body
-    if len(body) < n:
-        out[len(body)] = end
-    return out.tobytes()
+def _cuts(size: int, stride: int, held: int) -> Iterator[int]:
+    """Where the parts of a document of ``size`` bytes begin, if ``held`` bytes of a sequence are full already."""
+    at = 0
+    while at < size:
+        yield at
+        at += stride - held
+        held = 0
 
 
-def placed(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, ids: str | None = None) -> DataFrame:
-    """Sequences with ``slot`` and ``shard``, dealt out by ranges of shards and sorted by slot."""
-    spark = docs.sparkSession
-    made = materialise(sequences(docs, length, ids), "sequences")
+def placed(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, encode=as_bytes, free: int = FREE, width: int = 2) -> DataFrame:
+    """Sequences with ``slot`` and ``shard``, a range of shards in each task, sorted by slot."""
+    made = materialise(sequences(docs, length, encode, free, width), "sequences")
     counts = made.groupBy("task").agg(F.max("k").alias("last"))
     over = Window.orderBy("task")  # one row for each task
     first = counts.select("task", (F.sum(F.col("last") + 1).over(over) - F.col("last") - 1).alias("first"))
     n = counts.agg(F.coalesce(F.sum(F.col("last") + 1), F.lit(0))).first()[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            number = b.column("number").to_numpy()
-            slot = permute(number, n, key)
-            columns = [b.column(c) for c in ("doc_id", "part", "n_tokens", "payload")] + [pa.array(slot), pa.array(slot // records)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "n_tokens", "payload", "slot", "shard"])
+    @F.arrow_udf("bigint")
+    def slot_of(number: pa.Array) -> pa.Array:  # payloads stay in the JVM
+        return pa.array(permute(number.to_numpy(zero_copy_only=False), n, key))
 
-    kind = dict(docs.dtypes)["doc_id"]
-    numbered = made.join(F.broadcast(first), "task").select("doc_id", "part", "n_tokens", "payload", (F.col("first") + F.col("k")).alias("number"))
-    slots = numbered.mapInArrow(run, f"doc_id {kind}, part int, n_tokens int, payload binary, slot bigint, shard bigint")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return slots.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    numbered = made.join(F.broadcast(first), "task").withColumn("slot", slot_of(F.col("first") + F.col("k")))
+    slots = numbered.select("slot", F.expr(f"slot div {records}").alias("shard"), "n_tokens", "payload", "pieces")
+    parts = max(1, -(-n // records))
+    return slots.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("slot")
 
 
-def manifest(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, ids: str | None = None) -> DataFrame:
+def manifest(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, encode=as_bytes, free: int = FREE, width: int = 2) -> DataFrame:
     """Where each sequence lies, and the hash of its record; nothing is written."""
-    return _each_record(placed(docs, key, length, records, ids), length, records, ids is not None, None)
+    return _each_record(placed(docs, key, length, records, encode, free, width), length * width, records, None)
 
 
 def write_shards(
-    docs: DataFrame, folder: str, key: int, length: int = LENGTH, records: int = RECORDS, ids: str | None = None, end: int = END, pad: int = PAD
+    docs: DataFrame, folder: str, key: int, length: int = LENGTH, records: int = RECORDS, encode=as_bytes, free: int = FREE, width: int = 2
 ) -> DataFrame:
     """Write ``shard-*.bin`` under ``folder`` (any URI that pyarrow opens, shared by all executors) and return the manifest."""
-    out = _each_record(placed(docs, key, length, records, ids), length, records, ids is not None, folder, end, pad)
+    out = _each_record(placed(docs, key, length, records, encode, free, width), length * width, records, folder)
     return materialise(out, "manifest")
 
 
-def _each_record(rows: DataFrame, length: int, records: int, wide: bool, folder: str | None, end: int = END, pad: int = PAD) -> DataFrame:
-    stride = 2 * length
-    kind = dict(rows.dtypes)["doc_id"]
-
+def _each_record(rows: DataFrame, stride: int, records: int, folder: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa.fs.FileSystem.from_uri(folder) if folder else (None, "")
         open_shard, out, name = None, None, ""
@@ -144,33 +174,34 @@ def _each_record(rows: DataFrame, length: int, records: int, wide: bool, folder:
 
         if store:
             store.create_dir(root, recursive=True)
-        for b in (part for whole in batches for part in slices(whole)):
+        for batch in batches:
             hashes = []
-            for payload, n, shard in zip(*(b.column(c).to_pylist() for c in ("payload", "n_tokens", "shard"))):
-                one = record(payload, n, length, wide, end, pad)
-                hashes.append(hashlib.sha256(one).hexdigest())
+            for payload, shard in zip(batch.column("payload"), batch.column("shard").to_numpy().tolist()):
+                raw = payload.as_buffer()  # of the batch, not copied
+                hashes.append(hashlib.sha256(raw).hexdigest())
                 if store:
                     if shard != open_shard:
                         done()
                         open_shard, name = shard, f"{root}/.{shard}-{uuid.uuid4().hex}"
                         out = store.open_output_stream(name)
-                    out.write(one)
-            at = pa.array((b.column("slot").to_numpy() % records) * stride)
-            columns = [b.column(c) for c in ("doc_id", "part", "n_tokens", "slot", "shard")] + [at, pa.array(hashes, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "n_tokens", "slot", "shard", "byte_offset", "record_sha256"])
+                    out.write(raw)
+            at = pa.array((batch.column("slot").to_numpy() % records) * stride)
+            columns = [batch.column(c) for c in ("slot", "shard")] + [at, batch.column("n_tokens"), pa.array(hashes, pa.string()), batch.column("pieces")]
+            yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "n_tokens", "record_sha256", "pieces"])
         done()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, part int, n_tokens int, slot bigint, shard bigint, byte_offset bigint, record_sha256 string")
+    pieces = dict(rows.dtypes)["pieces"]
+    return rows.mapInArrow(run, f"slot bigint, shard bigint, byte_offset bigint, n_tokens int, record_sha256 string, pieces {pieces}")
 
 
-def read_records(folder: str, slot: int, count: int, n: int, length: int = LENGTH, records: int = RECORDS) -> Iterator[np.ndarray]:
+def read_records(folder: str, slot: int, count: int, n: int, length: int = LENGTH, records: int = RECORDS, width: int = 2) -> Iterator[np.ndarray]:
     """The ids of ``count`` slots from ``slot`` on, padding included; each shard is opened once and read in order."""
     store, root = pa.fs.FileSystem.from_uri(folder)
-    stride, end = 2 * length, min(slot + count, n)
+    stride, end = width * length, min(slot + count, n)
     while slot < end:
         shard, at = divmod(slot, records)
         with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
             f.seek(at * stride)
             for _ in range(min(end - slot, records - at)):
-                yield np.frombuffer(f.read(stride), "<u2")
+                yield np.frombuffer(f.read(stride), f"<u{width}")
                 slot += 1
