@@ -31,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is read many times."""
     path = f"{shared_dir(df.sparkSession)}/strandline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

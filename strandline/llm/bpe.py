@@ -67,16 +67,23 @@ class Lookup:
     """A fixed map of non-negative numbers, read for whole arrays; open addressing, mostly empty."""
 
     def __init__(self, of: dict[int, int], none: int):
-        self.bits, self.none = max(4, (4 * len(of)).bit_length()), none
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, none, np.int64)
-        taken: dict[int, int] = {}
-        for key, home in zip(of, _place(np.fromiter(of, np.int64, len(of)), self.bits).tolist()):
-            while home in taken:
-                home = (home + 1) & ((1 << self.bits) - 1)
-            taken[home] = key
-        at = np.fromiter(taken, np.int64, len(taken))
-        self.keys[at] = np.fromiter(taken.values(), np.int64, len(taken))
-        self.values[at] = np.fromiter((of[k] for k in taken.values()), np.int64, len(taken))
+        self.__setstate__((np.fromiter(of, np.int64, len(of)), np.fromiter(of.values(), np.int64, len(of)), none))
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray, int]:
+        used = self.keys >= 0  # what is empty isn't sent
+        return self.keys[used], self.values[used], self.none
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray, int]) -> None:
+        keys, values, self.none = state
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int64)
+        todo, home = np.arange(len(keys)), _place(keys, self.bits)
+        while len(todo):  # of those that want one free place, one gets it
+            free = self.keys[home] < 0
+            self.keys[home[free]] = keys[todo[free]]
+            self.values[home[free]] = values[todo[free]]
+            left = self.keys[home] != keys[todo]
+            todo, home = todo[left], (home[left] + 1) & ((1 << self.bits) - 1)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = _place(keys, self.bits)
@@ -130,6 +137,12 @@ class Automaton:
         self._trie({i: s for i, s in spelt.items() if i in real})
         self._scalar: tuple | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cells": None, "_scalar": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"cells": np.full(1 << CELLS, -2, np.int64)}
+
     def _gadget(self, cuts: dict[int, int], k: int, u: int, v: int, w: int) -> None:
         if self.left[w] >= 0:
             raise ValueError("two merges make one token: labels would not be unique")
@@ -170,7 +183,8 @@ class Automaton:
                     f = fail[f]
                 fail[x] = edges.get(f << 9 | c, 0)
             shorter[x] = fail[x] if token[fail[x]] >= 0 else shorter[fail[x]]
-        self.edge, self.token, self.fail, self.shorter = Lookup(edges, -1), np.array(token), np.array(fail), np.array(shorter)
+        self.edge = Lookup(edges, -1)
+        self.token, self.fail, self.shorter = (np.array(x, np.int32) for x in (token, fail, shorter))
         self.size = np.zeros(self.n, np.int64)
         self.size[list(spelt)] = [len(s) for s in spelt.values()]
 

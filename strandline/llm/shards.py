@@ -133,7 +133,7 @@ def _cuts(size: int, stride: int, held: int) -> Iterator[int]:
 
 def placed(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, encode=as_bytes, free: int = FREE, width: int = 2) -> DataFrame:
     """Sequences with ``slot`` and ``shard``, a range of shards in each task, sorted by slot."""
-    made = materialise(sequences(docs, length, encode, free, width), "sequences")
+    made = materialise(sequences(docs, length, encode, free, width), "sequences", level=9)
     counts = made.groupBy("task").agg(F.max("k").alias("last"))
     over = Window.orderBy("task")  # one row for each task
     first = counts.select("task", (F.sum(F.col("last") + 1).over(over) - F.col("last") - 1).alias("first"))
