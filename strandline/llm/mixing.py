@@ -2,10 +2,11 @@
 
 A source's weight is its token share to the power ``a``, normalised. The exponent is found by bisection, each step cutting the
 bracket into many parts with one aggregate over the source table: the largest exponent up to one whose weights reach a target
-entropy, unless a source would then be repeated more than a limit allows; then the smallest that keeps the limit.
+entropy, unless a source would then be repeated more than a limit allows; then the smallest that keeps the limit. The target can
+be given in nats, or as ``evenness``: which part of the way it goes from the shares' own entropy (0) to that of equal weights (1).
 
 Weights become token budgets. The total is the least that gives every source its weight without dropping any of its documents,
-or a given one. A source's documents are dealt to blocks of some ``block_tokens`` tokens by hash. Its budget is spent by whole
+or a given one. A source's documents are dealt to blocks of some ``block_tokens`` tokens, ``LEAST_BLOCKS`` at least, by hash. Its budget is spent by whole
 passes, each visiting its blocks in the order of a keyed hash; the last pass takes blocks in that order while they fit, and of
 the next block the documents with the least hashes until the budget is reached, so a source exceeds its budget by less than a
 document (and the copies of it).
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from strandline.llm._common import materialise, small
 from strandline.llm._native import let, words
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS, LEAST_BLOCKS = 1 << 20, 16
 SLICES = 64
 PARTS = 32  # of the bracket, in each step of the bisection
 SOURCES, BLOCKS = 10_000, 100_000  # rows that may be broadcast
@@ -44,35 +45,47 @@ def source_table(rows: DataFrame) -> DataFrame:
     return t.withColumn("p", F.col("tokens") / F.lit(max(total, 1)))
 
 
-def choose_exponent(sources: DataFrame, target_entropy: float | None, max_repeats: float | None) -> float:
+def choose_exponent(sources: DataFrame, target_entropy: float | None, max_repeats: float | None, evenness: float | None = None) -> float:
     """The exponent in [0, 1] that the module's text describes; entropies are in nats."""
     some = sources.where("p > 0")
 
-    def bisect(holds) -> float:
-        """The largest exponent for which ``holds(sums)`` is true; it is true at zero."""
+    def bisect(holds, smallest: bool = False) -> float:
+        """The largest exponent for which ``holds(sums)`` is true, if it is at zero; or the smallest, if it is at one."""
         low, high = 0.0, 1.0
         for _ in range(6):
             at = [low + (high - low) * k / PARTS for k in range(PARTS + 1)]
             sums = some.agg(*[
-                F.struct(F.sum(F.pow("p", a)).alias("z"), F.sum(F.pow("p", a) * F.log("p")).alias("zl"), F.lit(a).alias("a")).alias(f"s{k}")
+                F.struct(
+                    F.sum(F.pow("p", a)).alias("z"), F.sum(F.pow("p", a) * F.log("p")).alias("zl"),
+                    # with the least budget that drops nothing, a source is repeated (weight / share) * max(share / weight) times
+                    (F.max(F.pow("p", a - 1)) * F.max(F.pow("p", 1 - a))).alias("repeats"), F.lit(a).alias("a"),
+                ).alias(f"s{k}")
                 for k, a in enumerate(at)
             ]).first()
             good = [k for k in range(PARTS + 1) if holds(sums[k])]
-            k = max(good, default=0)
-            if k == PARTS:
-                return high
-            low, high = at[k], at[k + 1]
-        return low
-
-    least, most, n = some.agg(F.min("p"), F.max("p"), F.count(F.lit(1))).first()
-    if not n:
+            if smallest:
+                k = min(good, default=PARTS)
+                if not k:
+                    return low
+                low, high = at[k - 1], at[k]
+            else:
+                k = max(good, default=0)
+                if k == PARTS:
+                    return high
+                low, high = at[k], at[k + 1]
+        return high if smallest else low
+
+    if not some.limit(1).count():
         return 1.0
-    chosen = 0.0 if target_entropy is None and max_repeats is not None else 1.0
+    chosen = 0.0 if target_entropy is None and evenness is None and max_repeats is not None else 1.0
+    if evenness is not None:
+        own, n = some.agg(-F.sum(F.col("p") * F.log("p")), F.count(F.lit(1))).first()
+        target_entropy = own + evenness * (math.log(n) - own)
     if target_entropy is not None:
         chosen = bisect(lambda s: s["z"] > 0 and math.log(s["z"]) - s["a"] * s["zl"] / s["z"] >= target_entropy - 1e-12)
-    if max_repeats is not None and most > least:  # the rarest source is repeated (most / least) ** (1 - a) times
-        chosen = max(chosen, 1 - math.log(max(max_repeats, 1.0)) / math.log(most / least))
-    return min(max(chosen, 0.0), 1.0)
+    if max_repeats is not None:
+        chosen = max(chosen, bisect(lambda s: s["repeats"] <= max(max_repeats, 1.0) + 1e-9, smallest=True))
+    return chosen
 
 
 def weights(sources: DataFrame, exponent: float, budget: int | None = None) -> DataFrame:
@@ -126,14 +139,14 @@ def _blocks(rows: DataFrame, sources: DataFrame, block_tokens: int, seed: int) -
     )
 
 
-def _planned(docs: DataFrame, target_entropy, max_repeats, budget, block_tokens, seed) -> DataFrame:
+def _planned(docs: DataFrame, target_entropy, max_repeats, budget, block_tokens, seed, evenness) -> DataFrame:
     """``docs`` with ``__src, __n, __h, __block, __weight, __repeats, __order, __copies``."""
     counted = _counted(docs)
     narrow = materialise(counted.select(F.col("__src").alias("src"), F.col("__n").alias("n_tokens"), F.col("__h").alias("h")), "tokens")
     sources = source_table(narrow)
-    sources = materialise(weights(sources, choose_exponent(sources, target_entropy, max_repeats), budget), "weights")
+    sources = materialise(weights(sources, choose_exponent(sources, target_entropy, max_repeats, evenness), budget), "weights")
     sources = small(sources, SOURCES)
-    count = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens)))
+    count = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("tokens") / F.lit(block_tokens)))
     dealt = sources.select(F.col("src").alias("__s"), count.alias("__k"), F.col("weight").alias("__weight"), F.col("repeats").alias("__repeats"))
     block = lambda h: F.pmod(h, F.col("__k")).cast("bigint")
     rows = narrow.join(dealt, F.col("src").eqNullSafe(F.col("__s"))).select("src", "n_tokens", "h", block(F.col("h")).alias("block"))
@@ -148,10 +161,10 @@ def _planned(docs: DataFrame, target_entropy, max_repeats, budget, block_tokens,
 
 def plan(
     docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: int | None = None,
-    block_tokens: int = BLOCK_TOKENS, seed: int = 7,
+    block_tokens: int = BLOCK_TOKENS, seed: int = 7, evenness: float | None = None,
 ) -> DataFrame:
     """For every document: tokens, its source's weight and passes, its block and that block's place, and its copies."""
-    of = _planned(docs.select("doc_id", "text", "source"), target_entropy, max_repeats, budget, block_tokens, seed)
+    of = _planned(docs.select("doc_id", "text", "source"), target_entropy, max_repeats, budget, block_tokens, seed, evenness)
     return of.select(
         "doc_id", F.col("__src").alias("source"), F.col("__n").alias("n_tokens"), F.col("__weight").alias("weight"),
         F.col("__repeats").alias("repeats"), F.col("__block").alias("block"), F.col("__order").alias("block_order"), F.col("__copies").alias("copies"),
@@ -160,8 +173,8 @@ def plan(
 
 def mix(
     docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: int | None = None,
-    block_tokens: int = BLOCK_TOKENS, seed: int = 7,
+    block_tokens: int = BLOCK_TOKENS, seed: int = 7, evenness: float | None = None,
 ) -> DataFrame:
     """``docs`` with each row as often as the plan says."""
-    of = _planned(docs, target_entropy, max_repeats, budget, block_tokens, seed)
+    of = _planned(docs, target_entropy, max_repeats, budget, block_tokens, seed, evenness)
     return of.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)

@@ -20,7 +20,7 @@ def vocabulary() -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents"), max_repeats=2.0)
+    return mixing.plan(table(spark, sf_dir, "documents"), evenness=0.5, max_repeats=2.0)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

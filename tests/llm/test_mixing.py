@@ -53,6 +53,41 @@ def test_exponent_meets_entropy_or_repetition(spark, docs):
     assert w["big"] == pytest.approx(have["big"] / sum(have.values()))
 
 
+def test_exponent_as_a_plain_bisection_finds_it(spark, docs):
+    have = {s: n for s, n in tokens(docs.collect()).items() if n}
+    p = [n / sum(have.values()) for n in have.values()]
+
+    def weights(a):
+        z = sum(x**a for x in p)
+        return [x**a / z for x in p]
+
+    entropy = lambda a: -sum(w * math.log(w) for w in weights(a))
+    target = entropy(1) + 0.5 * (math.log(len(p)) - entropy(1))
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy(mid) >= target else (low, mid)
+    want = dict(zip(have, weights(low)))
+    got = {r["source"]: r["weight"] for r in mixing.plan(docs, evenness=0.5, max_repeats=None, block_tokens=500).collect()}
+    assert 0.05 < low < 0.95 and all(got[s] == pytest.approx(w, abs=1e-6) for s, w in want.items())
+    # the repetition limit: the rarest source is repeated 3 times at the least exponent that keeps it
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if (max(p) / min(p)) ** (1 - mid) <= 3 else (mid, high)
+    got = {r["source"]: r["weight"] for r in mixing.plan(docs, evenness=1.0, max_repeats=3.0, block_tokens=500).collect()}
+    assert 0 < high < 1 and all(got[s] == pytest.approx(w, abs=1e-6) for s, w in zip(have, weights(high)))
+
+
+def test_sources_have_many_blocks_and_repeated_rows_go_together(spark, docs):
+    blocks = {}
+    for r in mixing.plan(docs, evenness=0.5).collect():
+        blocks.setdefault(r["source"], set()).add((r["block"], r["block_order"]))
+    assert len(blocks["big"]) == mixing.LEAST_BLOCKS and len({o for _, o in blocks["big"]}) == mixing.LEAST_BLOCKS
+    twice = docs.where("doc_id < 20").unionAll(docs.where("doc_id < 20"))
+    assert all(len({x["copies"] for x in g}) == 1 for g in [[r for r in mixing.plan(twice).collect() if r["doc_id"] == i] for i in range(20)])
+
+
 def test_mix_repeats_rows(docs):
     plan = {r["doc_id"]: r["copies"] for r in mixing.plan(docs, max_repeats=1.5, block_tokens=500).collect()}
     got = mixing.mix(docs, max_repeats=1.5, block_tokens=500)
