@@ -1,13 +1,15 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
-Four base patterns find e-mail and IP addresses, card and phone numbers in whole texts. Their spans are the seeds. Seeds, and
-other tokens with a digit, are instances. The words around one are its lexical patterns: the word before it (with its sign, if
+Four base patterns find e-mail and IP addresses, card and phone numbers in whole texts. Their spans are seeds, and so are tokens
+with the look of a key: 32 hexadecimal digits or more, letters and figures both. Seeds, and other tokens with a digit, are
+instances. The words around one are its lexical patterns: the word before it (with its sign, if
 one of ``: = #`` stands between, as in ``id = "..."``), the word after it, and both together. Patterns and instances form a
 bipartite graph of distinct values. Seeds are known; a pattern is as sure as the known share of its instances, once ``SUPPORT``
 of them are known; all instances of a pattern that reaches ``CONFIDENCE`` become known, and so support others, until nothing
 changes. In texts, confident patterns mark the identifiers that no base pattern knows, which become spans of kind ``id``; the
-word after alone is too weak a sign to mark one, it only passes knowledge on. Base spans always stay, and no added span
-overlaps one. Tokens of over ``LONGEST`` code points are no instances.
+word after alone is too weak a sign to mark one, it only passes knowledge on. The look of a key alone makes no span either: a
+checksum that stands nowhere in particular is nobody's. Base spans always stay, and no added span overlaps one. Tokens and words
+of any length take part; a word of over ``WORD`` code points stands in a pattern by its hash.
 
 Sums by pattern are partial before they are shuffled, so a frequent pattern is one row a task. A null text is the empty text.
 Each row is judged by its own text, so repeated rows, ties and equal ids are nothing special, and an empty table gives an empty
@@ -28,7 +30,7 @@ from strandline.llm._common import map_texts, materialise, small, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "id")
 SUPPORT, CONFIDENCE = 5, 0.9
-LONGEST, LOOK = 128, 48
+WORD = 64
 SMALL = 100_000  # texts with added spans that may be broadcast
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,9 +40,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _STOP = re.compile(r"[\s\"'<>(),;]|\Z")
-_BEFORE = re.compile(r"(\w+)(\W*)\Z")
 _AFTER = re.compile(r"\W*(\w+)")
-_SIGN = re.compile(r"[:=#]")
+_KEY = re.compile(r"(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}")
 
 
 def luhn(digits: str) -> bool:
@@ -85,29 +86,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _around(text: str, start: int, end: int) -> tuple[str, str]:
-    """The word before a place, with the last sign between, and the word after it; empty if there are none."""
-    before, after = _BEFORE.search(text[max(0, start - LOOK) : start]), _AFTER.match(text[end : end + LOOK])
-    left = " ".join([before[1].lower(), *_SIGN.findall(before[2])[-1:]]) if before else ""
-    return left, after[1].lower() if after else ""
+def _word(text: str) -> str:
+    return text.lower() if len(text) <= WORD else hashlib.md5(text.lower().encode()).hexdigest()
 
 
-def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool]]:
-    """``(start, end, left, right, seed)`` of every seed and every other token with a digit that has a word beside it."""
-    out = [(a, b, *around, True) for a, _, b in spans if any(around := _around(text, a, b))]
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The word before a place, with the last sign between, and the word after it; empty if there are none."""
+    b, sign = start, ""
+    while b > 0 and not (text[b - 1].isalnum() or text[b - 1] == "_"):
+        b -= 1
+        sign = sign or (text[b] if text[b] in ":=#" else "")
+    a = b
+    while a > 0 and (text[a - 1].isalnum() or text[a - 1] == "_"):
+        a -= 1
+    after = _AFTER.match(text, end)
+    return f"{_word(text[a:b])} {sign}".rstrip() if a < b else "", _word(after[1]) if after else ""
+
+
+def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool, bool]]:
+    """``(start, end, left, right, seed, base)`` of every base span and every other token with a digit that has a word beside it."""
+    out = [(a, b, *around, True, True) for a, _, b in spans if any(around := _around(text, a, b))]
     k, at = 0, 0
     while m := _DIGIT.search(text, at):
         a, at = m.start(), _STOP.search(text, m.start()).start()
         b = at
-        while a > 0 and m.start() - a <= LONGEST and not _STOP.match(text[a - 1]):
+        while a > 0 and not _STOP.match(text[a - 1]):
             a -= 1
         while b > a and text[b - 1] in ".:!?#$%&*|":
             b -= 1
-        if 5 <= b - a <= LONGEST:
+        if 5 <= b - a:
             while k < len(spans) and spans[k][2] <= a:
                 k += 1
             if not any(s < b and a < e for s, _, e in spans[k : k + 8]) and any(around := _around(text, a, b)):
-                out.append((a, b, *around, False))
+                out.append((a, b, *around, bool(_KEY.fullmatch(text, a, b)), False))
     return out
 
 
@@ -120,7 +131,7 @@ def extract(docs: DataFrame) -> DataFrame:
     """``doc_id, key, check, spans, found``: base spans, and the instances with the words around, of every whole text."""
     kind = dict(docs.dtypes)["doc_id"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("left", pa.string()), ("right", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
+    found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("left", pa.string()), ("right", pa.string()), ("value", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_())]))
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,8 +140,8 @@ def extract(docs: DataFrame) -> DataFrame:
                 own = base_spans(t)
                 spans.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
                 seen.append([
-                    {"start": a, "end": b, "left": l, "right": r, "value": hashlib.md5(t[a:b].encode()).hexdigest(), "seed": s}
-                    for a, b, l, r, s in instances(t, own)
+                    {"start": a, "end": b, "left": l, "right": r, "value": hashlib.md5(t[a:b].encode()).hexdigest(), "seed": s, "base": of}
+                    for a, b, l, r, s, of in instances(t, own)
                 ])
             out = [batch.column(c) for c in ("doc_id", "key", "check")] + [pa.array(spans, span), pa.array(seen, found)]
             return pa.RecordBatch.from_arrays(out, ["doc_id", "key", "check", "spans", "found"])
@@ -140,7 +151,7 @@ def extract(docs: DataFrame) -> DataFrame:
     return map_texts(
         docs.select("doc_id", "text", *_key()), start,
         f"doc_id {kind}, key bigint, check bigint, spans array<struct<start:int,kind:int,end:int>>, "
-        "found array<struct<start:int,end:int,left:string,right:string,value:string,seed:boolean>>",
+        "found array<struct<start:int,end:int,left:string,right:string,value:string,seed:boolean,base:boolean>>",
     )
 
 
@@ -174,7 +185,7 @@ def added_spans(read: DataFrame, support: int = SUPPORT, confidence: float = CON
     found = read.select("key", "check", F.inline("found"))
     sure = confident_patterns(found.select(_patterns("l", "r", "b"), "value", "seed"), support, confidence)
     span = F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")
-    more = found.where("not seed").select("*", _patterns("l", "b")).join(sure, "pattern")
+    more = found.where("not base").select("*", _patterns("l", "b")).join(sure, "pattern")
     more = more.groupBy("key", "check").agg(F.array_sort(F.collect_set(span)).alias("added"))
     return small(materialise(more, "added"), SMALL)
 
@@ -215,24 +226,32 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every base and added span of its texts replaced by its kind."""
-    more = added_spans(materialise(extract(docs), "instances"))
+    """``docs`` with every base and added span of its texts replaced by its kind. Texts without any stay as they are, null too."""
+    read = materialise(extract(docs), "instances")
+    spans = read.where(F.size("spans") > 0).groupBy("key", "check").agg(F.first("spans").alias("base"))  # equal texts have equal ones
+    both = spans.join(added_spans(read), ["key", "check"], "full_outer")
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    both = both.select("key", "check", F.array_sort(F.concat(F.coalesce("base", none), F.coalesce("added", none))).alias("all"))
+    both = small(materialise(both, "spans"), SMALL)
+
     names = docs.columns
-    rows = _with_added(docs.select("*", *_key()), more).drop("key", "check")
-    at = names.index("text")
-    sizes = [i for i, c in enumerate(names) if c == "n_chars"]
+    of = both.select(F.col("key").alias("__key"), F.col("check").alias("__check"), F.col("all").alias("__all"))
+    rows = docs.withColumns(dict(zip(("__key", "__check"), _key()))).join(of, ["__key", "__check"], "left")
+    at, sizes = names.index("text"), [i for i, c in enumerate(names) if c == "n_chars"]
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, columns = [], [batch.column(i) for i in range(len(names))]
-            for t, added in zip(columns[at].to_pylist(), batch.column(len(names)).to_pylist()):
-                spans = sorted(base_spans(t or "") + [(s["start"], s["kind"], s["end"]) for s in added])
-                texts.append(redact_text(t, spans) if spans else t)
+            columns = [batch.column(i) for i in range(len(names))]
+            texts = [
+                redact_text(t, [(s["start"], s["kind"], s["end"]) for s in spans])
+                for t, spans in zip(columns[at].to_pylist(), batch.column(len(names)).to_pylist())
+            ]
             columns[at] = pa.array(texts, pa.string())
             for i in sizes:
-                columns[i] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[i].type)
+                columns[i] = pa.array(map(len, texts), pa.int64()).cast(columns[i].type)
             return pa.RecordBatch.from_arrays(columns, names)
 
         return each
 
-    return map_texts(rows, start, docs.schema)
+    touched = map_texts(rows.where("__all is not null").select(*names, "__all"), start, docs.schema)
+    return rows.where("__all is null").select(*names).unionByName(touched)  # few rows have any and pass through Python

@@ -65,7 +65,34 @@ def test_words_on_both_sides_and_confident_instances_lead_to_others(spark):
     assert out[300]["n_added"] == 0
 
 
+def test_keys_in_a_learnt_context_lead_to_others_there(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'some words token = "{key(i)}" more') for i in range(60)] + [(100, 'x token = "short-77" y'), (101, f"sum {key(101)} alone")]
+    rows += [(102, "a" * 70_000 + " 12345 " + "=" * 70_000 + " b2345"), (103, 'token = "' + "9" * 5000 + 'z" end')]
+    out = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[3]["spans"] == "id:20:60" and out[100]["spans"] == "id:11:19" and out[101]["n_added"] == 0
+    assert out[103]["spans"] == "id:9:5010" and out[102]["n_added"] == 0
+
+
+def test_confident_patterns_as_plain_python_finds_them(spark):
+    rng = random.Random(12)
+    edges = {(f"p{rng.randrange(60)}", f"v{min(rng.randrange(300), rng.randrange(300))}") for _ in range(1500)}
+    seeds = {f"v{i}" for i in range(0, 300) if rng.random() < 0.6}
+    known, sure = set(seeds), set()
+    while True:
+        now = {p for p in {p for p, _ in edges} if (vs := {v for q, v in edges if q == p}) and len(vs & known) >= 5 and len(vs & known) / len(vs) >= 0.7}
+        known |= {v for p, v in edges if p in now}
+        if now == sure:
+            break
+        sure = now
+    rows = [(p, v, v in seeds) for p, v in edges]
+    got = pii.confident_patterns(spark.createDataFrame(rows + rows[:50], "pattern string, value string, seed boolean"), 5, 0.7)
+    assert {r["pattern"] for r in got.collect()} == sure and 0 < len(sure)
+    first = {p for p in {p for p, _ in edges} if (vs := {v for q, v in edges if q == p}) and len(vs & seeds) / len(vs) >= 0.7}
+    assert first != sure
+
+
 def test_redact_keeps_columns_and_an_empty_table(spark):
-    docs = spark.createDataFrame([(1, "mail a@b.cc now", 15), (2, None, None)], "doc_id bigint, text string, n_chars bigint")
+    docs = spark.createDataFrame([(1, "mail a@b.cc now", 15), (2, None, None)], "doc_id bigint, text string, n_chars bigint").selectExpr("*")
     assert {tuple(r) for r in pii.redact(docs).collect()} == {(1, "mail <email> now", 16), (2, None, None)}
     assert pii.redact(docs.limit(0)).collect() == [] and pii.personal_data(docs.limit(0)).collect() == []
