@@ -15,9 +15,11 @@ the links (Kiveris et al., "Connected components in MapReduce and beyond"), each
 ``keep_one`` has a criterion of its own: texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
 more. Fingerprints of 64 bits can't tell these, as such pairs differ in some ten bits. Candidates are texts that share one of
 ``BANDS`` bands of ``ROWS`` MinHash values, which a pair at 0.8 misses with a probability of 5e-8; each candidate pair is then
-verified on the whole sets. In a band's cell, first all are compared with the least; after that all pairs
-of different components are, so no link is lost. Where a large group of near copies does not come together in the first step, the
-pairs of the second grow with the square of its size.
+verified on the whole sets. First every text is compared with the first text of a few of its cells. Then texts go that can't be
+similar to any other of those not connected yet, as too many of their shingles stand in none. What is left is dealt by cell, with
+its shingles, and each text outside a cell's largest component is held against the whole cell, through the list of texts that
+each shingle stands in; a cell reports a spanning forest of links. A cell of over ``CHUNK`` shingles is cut into chunks and every
+two chunks meet in a task, so no task holds an unbounded group and no link is lost.
 
 A null text is the empty text: its fingerprint is zero and links like any other. Null ids take part and count as greater than
 all others; rows with equal ids are rows of one document id with their own texts. Other columns are ignored.
@@ -39,6 +41,8 @@ SHINGLE = 3
 DISTANCE = 3
 CELL = 4096
 NEAR_SHINGLE, NEAR, BANDS, ROWS = 5, 0.8, 32, 4
+ASKED = 3
+CHUNK = 2_000_000  # shingles that meet in one task
 _BLOCK = 65_536
 
 
@@ -265,11 +269,12 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     cells = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "n", F.explode("bands").alias("cell"))
     own = Window.partitionBy("cell")
     met = cells.select("cell", "node", "n", F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"))
-    met = materialise(met.where("least != most").drop("most"), "cells")
+    met = materialise(met.where("least != most").drop("least", "most"), "cells")
     # one text of each node that meets another
     of = nodes.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
     texts = docs.select(F.xxhash64("text").alias("h"), "text").join(of, "h").dropDuplicates(["node"])
     sets = materialise(_sets(texts.select("node", "text")), "shingles")
+    met = met.select("cell", "node", "n")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
@@ -277,16 +282,62 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         shared = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("all"))
         return materialise(shared.where(F.col("both") / (F.col("all") - F.col("both")) >= NEAR).select("a", "b"), name)
 
-    stars = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    first = verified(stars, "stars")
-    roots = met.join(components(first), "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"))
-    roots = materialise(roots, "roots")
-    apart = roots.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("cell")
-    left = roots.join(apart, "cell")
-    right = left.select("cell", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    able = (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & (F.least("n", "m") >= NEAR * F.greatest("n", "m") - 1e-6)
-    pairs = left.join(right, "cell").where(able).select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return first.unionByName(verified(materialise(pairs, "pairs"), "links"))
+    able = F.least("n", "m") >= NEAR * F.greatest("n", "m") - 1e-6
+    # the first text of each cell meets the others; every text asks in a few of its cells
+    order = F.xxhash64("cell", "node")
+    first = F.min(F.struct(order.alias("h"), "node", "n")).over(own)
+    asked = met.withColumn("p", first).where("node != p.node").withColumn("m", F.col("p.n")).where(able)
+    some = F.row_number().over(Window.partitionBy("node").orderBy(order))  # BANDS rows at most
+    stars = asked.withColumn("k", some).where(F.col("k") <= ASKED).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+    linked = verified(stars.distinct(), "stars")
+    roots = met.join(components(linked), "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"))
+    left = _apart(_able(_apart(roots), sets)).join(sets, "node")
+    # of a large cell, every two chunks meet
+    load = F.sum("n").over(own)
+    dealt = left.withColumn("chunks", F.ceil(load / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    met_with = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(k, "part") * F.col("chunks") + F.greatest(k, "part"))
+    dealt = dealt.select("cell", F.explode(met_with).alias("chunk"), "node", "root", "shingles")
+    return linked.unionByName(dealt.groupBy("cell", "chunk").applyInArrow(_forest_of_sets, "a bigint, b bigint"))
+
+
+def _forest_of_sets(rows: pa.Table) -> pa.Table:
+    """Links that connect whatever in a cell is similar enough and has different roots."""
+    node, sets = rows.column("node").to_numpy(), rows.column("shingles").combine_chunks()
+    offsets, n = sets.offsets.to_numpy(), np.diff(sets.offsets.to_numpy())
+    code = np.unique(sets.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)[1]
+    offsets = offsets - offsets[0]
+    held = np.repeat(np.arange(len(node)), n)[np.argsort(code, kind="stable")]  # the texts of each shingle
+    many = np.bincount(code, minlength=1)
+    begin = np.cumsum(many) - many
+    label = np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():  # those of the largest component are asked only
+        mine = code[offsets[i] : offsets[i + 1]]
+        size = many[mine]
+        places = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        both = np.bincount(held[places], minlength=len(node))
+        near = np.flatnonzero((both / np.maximum(n[i] + n - both, 1) >= NEAR) & (label != label[i]))
+        if len(near):
+            joined, at = np.unique(label[near], return_index=True)
+            out += [(int(node[i]), int(x)) for x in node[near[at]]]
+            label[np.isin(label, joined)] = label[i]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _apart(met: DataFrame) -> DataFrame:
+    """The rows of cells whose nodes are not all connected yet."""
+    own = Window.partitionBy("cell")
+    marked = met.withColumns({"x": F.min("root").over(own), "y": F.max("root").over(own)})
+    return materialise(marked.where("x != y").drop("x", "y"), "apart")
+
+
+def _able(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """``met`` without nodes that can't be similar to any other: too many of their shingles stand in no other node."""
+    here = sets.join(met.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    alone = here.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return met.join(alone, "node", "left").where(F.col("n") - F.coalesce("alone", F.lit(0)) >= NEAR * F.col("n") - 1e-6).drop("alone")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
