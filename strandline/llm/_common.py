@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only in one process, where none is named."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
         _made.append(urlparse(found).path)
         spark.sparkContext._conf.set("spark.checkpoint.dir", found)

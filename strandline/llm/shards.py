@@ -19,7 +19,6 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -131,8 +130,8 @@ def _cuts(size: int, stride: int, held: int) -> Iterator[int]:
         held = 0
 
 
-def placed(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, encode=as_bytes, free: int = FREE, width: int = 2) -> DataFrame:
-    """Sequences with ``slot`` and ``shard``, a range of shards in each task, sorted by slot."""
+def placed(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, encode=as_bytes, free: int = FREE, width: int = 2) -> tuple[DataFrame, int]:
+    """The written sequences with ``slot`` and ``shard``, and how many there are."""
     made = materialise(sequences(docs, length, encode, free, width), "sequences", level=9)
     counts = made.groupBy("task").agg(F.max("k").alias("last"))
     over = Window.orderBy("task")  # one row for each task
@@ -144,54 +143,59 @@ def placed(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECOR
         return pa.array(permute(number.to_numpy(zero_copy_only=False), n, key))
 
     numbered = made.join(F.broadcast(first), "task").withColumn("slot", slot_of(F.col("first") + F.col("k")))
-    slots = numbered.select("slot", F.expr(f"slot div {records}").alias("shard"), "n_tokens", "payload", "pieces")
-    parts = max(1, -(-n // records))
-    return slots.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    return numbered.withColumn("shard", F.expr(f"slot div {records}")), n
+
+
+def _manifest(rows: DataFrame, records: int, stride: int) -> DataFrame:
+    at = (F.col("slot") % records) * stride
+    return rows.select("slot", "shard", at.alias("byte_offset"), "n_tokens", F.sha2("payload", 256).alias("record_sha256"), "pieces")
 
 
 def manifest(docs: DataFrame, key: int, length: int = LENGTH, records: int = RECORDS, encode=as_bytes, free: int = FREE, width: int = 2) -> DataFrame:
-    """Where each sequence lies, and the hash of its record; nothing is written."""
-    return _each_record(placed(docs, key, length, records, encode, free, width), length * width, records, None)
+    """Where each sequence lies, and the hash of its record; no shard is written."""
+    return _manifest(placed(docs, key, length, records, encode, free, width)[0], records, length * width)
 
 
 def write_shards(
     docs: DataFrame, folder: str, key: int, length: int = LENGTH, records: int = RECORDS, encode=as_bytes, free: int = FREE, width: int = 2
 ) -> DataFrame:
-    """Write ``shard-*.bin`` under ``folder`` (any URI that pyarrow opens, shared by all executors) and return the manifest."""
-    out = _each_record(placed(docs, key, length, records, encode, free, width), length * width, records, folder)
-    return materialise(out, "manifest")
+    """Write ``shard-*.bin`` under ``folder`` (any URI that pyarrow opens, shared by all executors) and return the manifest.
+
+    The shards are complete when this returns; the manifest is read from the sequence table.
+    """
+    rows, n = placed(docs, key, length, records, encode, free, width)
+    dealt = rows.select("slot", "shard", "payload").repartitionById(max(1, -(-n // records)), F.col("shard").cast("int")).sortWithinPartitions("slot")
+    got = _written(dealt, folder).agg(F.sum("records")).first()[0] or 0
+    if got != n:
+        raise RuntimeError(f"{got} of {n} records were written")
+    return _manifest(rows, records, length * width)
+
 
+def _written(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes the payloads of sorted rows and returns ``shard, records`` of each file."""
 
-def _each_record(rows: DataFrame, stride: int, records: int, folder: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pa.fs.FileSystem.from_uri(folder) if folder else (None, "")
-        open_shard, out, name = None, None, ""
+        store, root = pa.fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        open_shard, out, name, count = None, None, "", 0
 
-        def done() -> None:
+        def done() -> Iterator[pa.RecordBatch]:
             if out is not None:
                 out.close()
                 store.move(name, f"{root}/shard-{open_shard:08d}.bin")
+                yield pa.RecordBatch.from_arrays([pa.array([open_shard], pa.int64()), pa.array([count], pa.int64())], ["shard", "records"])
 
-        if store:
-            store.create_dir(root, recursive=True)
         for batch in batches:
-            hashes = []
             for payload, shard in zip(batch.column("payload"), batch.column("shard").to_numpy().tolist()):
-                raw = payload.as_buffer()  # of the batch, not copied
-                hashes.append(hashlib.sha256(raw).hexdigest())
-                if store:
-                    if shard != open_shard:
-                        done()
-                        open_shard, name = shard, f"{root}/.{shard}-{uuid.uuid4().hex}"
-                        out = store.open_output_stream(name)
-                    out.write(raw)
-            at = pa.array((batch.column("slot").to_numpy() % records) * stride)
-            columns = [batch.column(c) for c in ("slot", "shard")] + [at, batch.column("n_tokens"), pa.array(hashes, pa.string()), batch.column("pieces")]
-            yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "n_tokens", "record_sha256", "pieces"])
-        done()
-
-    pieces = dict(rows.dtypes)["pieces"]
-    return rows.mapInArrow(run, f"slot bigint, shard bigint, byte_offset bigint, n_tokens int, record_sha256 string, pieces {pieces}")
+                if shard != open_shard:
+                    yield from done()
+                    open_shard, name, count = shard, f"{root}/.{shard}-{uuid.uuid4().hex}", 0
+                    out = store.open_output_stream(name)
+                out.write(payload.as_buffer())  # of the batch, not copied
+                count += 1
+        yield from done()
+
+    return rows.mapInArrow(run, "shard bigint, records bigint")
 
 
 def read_records(folder: str, slot: int, count: int, n: int, length: int = LENGTH, records: int = RECORDS, width: int = 2) -> Iterator[np.ndarray]:
