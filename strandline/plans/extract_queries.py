@@ -213,17 +213,6 @@ def events_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTEXT = ("is", "the", "aa", "jää")
 
 
-@query(f"""
-WITH {PAGES}, k AS (SELECT * FROM (VALUES {", ".join(f"({i}, {text_sql(w)})" for i, w in enumerate(CONTEXT))}) AS k(ord, keyword)),
-p AS (SELECT doc_id, text, ord, keyword, unnest(list_filter(generate_series(1, length(text)), lambda i: substr(lower(text), i, length(keyword)) = keyword)) - 1 AS position
-    FROM (SELECT * FROM pages WHERE length(text) < 3000) JOIN k ON contains(lower(text), keyword))
-SELECT doc_id, CAST(ord AS INTEGER) AS ord, keyword, CAST(position AS INTEGER) AS position,
-       {strip_sql("replace(substr(text, greatest(0, position - 40) + 1, position + length(keyword) + 40 - greatest(0, position - 40)), chr(10), ' ')")} AS snippet FROM p""")
-def keyword_windows_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords in context, of texts under 3000 code points: a feature of this report. ``keyword_windows_context`` takes all."""
-    return extract.keyword_windows(pages(spark, sf_dir).where(F.length("text") < 3000), CONTEXT, window=40)
-
-
 @query()
 def keyword_windows_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords in context, over all texts; tested against plain Python."""
