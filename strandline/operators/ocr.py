@@ -1,7 +1,7 @@
 """Correction of OCR errors: rules, and a scorer that judges each word in its context.
 
 A scorer gets sentences with one word masked and returns the likeliest words there with their shares. ``NgramScorer`` is a
-stand-in trained on the corpus itself, which needs no model file; another is any object with the same method.
+stand-in trained on the corpus itself, which needs no model file; another is any object with the method of ``Scorer``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from strandline.functions import spans as sp
 from strandline.functions import text as tx
 
 THRESHOLD, TOP, CHUNK = 0.01, 5, 60
+HOT, SALTS = 1000, 64
 FLAG = "struct<position:int,original:string,suggestion:string,reason:string,rule_name:string,confidence:double>"
 
 
@@ -30,52 +31,81 @@ class Scorer(Protocol):
 class NgramScorer:
     """Shares of the words that the corpus has between two neighbours, and else after the left one.
 
-    Both tables hold the ``TOP`` words of contexts seen ``least`` times or more; a table over ``most`` contexts is cut to the
-    commonest, so what is sent to the workers is bounded.
+    Both tables hold the ``TOP`` words of every context seen ``least`` times or more. They stay in Spark and are joined to the
+    words asked by shuffle, so they may grow with the corpus. A context with a thousandth of all places or more is hot; there
+    are ``HOT`` such pairs and words at most, and their rows are dealt over ``SALTS`` partitions.
     """
 
-    def __init__(self, between: dict[tuple[str, str], list[tuple[str, float]]], after: dict[str, list[tuple[str, float]]]):
-        self.between, self.after = between, after
+    def __init__(self, between: DataFrame, after: DataFrame, hot: list[tuple[str, str | None]]):
+        self.between, self.after, self.hot = between, after, hot
 
     @staticmethod
-    def tables(rows: DataFrame, text: str = "text", least: int = 2, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    def _grams(rows: DataFrame, text: str) -> DataFrame:
         ws = F.concat(F.array(F.lit("")), F.transform(tx.tokens(F.col(text)), lambda w: F.btrim(w, F.lit(tx.PUNCTUATION))), F.array(F.lit("")))
-        grams = rows.select(ws.alias("w")).where("size(w) > 2").select(
+        return rows.select(ws.alias("w")).where("size(w) > 2").select(
             F.inline(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.struct(
                 F.get("w", i - 1).alias("l"), F.get("w", i).alias("m"), F.get("w", i + 1).alias("r"))))
         )
 
+    @classmethod
+    def tables(cls, rows: DataFrame, text: str = "text", least: int = 2) -> tuple[DataFrame, DataFrame]:
+        grams = cls._grams(rows, text)
+
         def top(*keys: str) -> DataFrame:
             counts = grams.groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("n"))
-            total = counts.groupBy(*keys).agg(F.sum("n").alias("total")).where(F.col("total") >= least).orderBy(F.desc("total"), *keys).limit(most)
-            place = Window.partitionBy(*keys).orderBy(F.desc("n"), "m")  # of at most `most` contexts
-            best = counts.join(F.broadcast(total), list(keys)).withColumn("k", F.row_number().over(place)).where(F.col("k") <= TOP)
-            best = best.groupBy(*keys, "total").agg(F.array_sort(F.collect_list(F.struct("k", "m", "n"))).alias("best"))
+            total = counts.groupBy(*keys).agg(F.sum("n").alias("total")).where(F.col("total") >= least)
+            place = Window.partitionBy(*keys).orderBy(F.desc("n"), "m")  # each task keeps TOP rows of a context before they move
+            best = counts.withColumn("k", F.row_number().over(place)).where(F.col("k") <= TOP)
+            best = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "m", "n"))).alias("best")).join(total, list(keys))
             return best.select(*keys, F.transform("best", lambda b: F.struct(b["m"].alias("m"), (b["n"] / F.col("total")).alias("p"))).alias("best"))
 
         return top("l", "r"), top("l")
 
     @classmethod
-    def fit(cls, rows: DataFrame, text: str = "text", least: int = 2, most: int = 100_000) -> NgramScorer:
-        between, after = cls.tables(rows, text, least, most)
-        pairs = {(r["l"], r["r"]): [(b["m"], b["p"]) for b in r["best"]] for r in between.toLocalIterator()}
-        single = {r["l"]: [(b["m"], b["p"]) for b in r["best"]] for r in after.toLocalIterator()}
-        return cls(pairs, single)
+    def fit(cls, rows: DataFrame, text: str = "text", least: int = 2) -> NgramScorer:
+        grams = cls._grams(rows, text)
+        totals = grams.groupBy("l", "r").agg(F.count(F.lit(1)).alias("n")).rollup("l", "r").agg(F.sum("n").alias("n"))
+        every = grams.agg(F.count(F.lit(1)).alias("every"))  # one row
+        # a place counts in one pair and one word, so there are HOT of either at most
+        hot = totals.crossJoin(F.broadcast(every)).where("l is not null").where(F.col("n") * HOT >= F.col("every")).select("l", "r").collect()
+        return cls(*cls.tables(rows, text, least), [tuple(h) for h in hot])
+
+    def _joined(self, asked: DataFrame, of: DataFrame, keys: dict[str, str], name: str) -> DataFrame:
+        """``asked`` with the best words of its context as ``name``; ``keys`` names its columns for those of the table."""
+        found = [h for h in self.hot if (h[1] is None) == ("r" not in keys)]
+        hot = F.broadcast(asked.sparkSession.createDataFrame(found, "hl string, hr string").withColumn("hot", F.lit(True)))  # HOT rows
+
+        def marked(df: DataFrame, l: str, r: str | None) -> DataFrame:
+            at = F.col("hl") == F.col(l)
+            return df.join(hot, at if r is None else at & (F.col("hr") == F.col(r)), "left").drop("hl", "hr")
+
+        table = marked(of, "l", "r" if "r" in keys else None).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))))
+        table = table.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("salt").alias("_salt"), F.col("best").alias(name))
+        rows = marked(asked, keys["l"], keys.get("r")).withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("chunk", "token", "bare"), F.lit(SALTS))).otherwise(0))
+        same = F.col("salt") == F.col("_salt")
+        for k, column in keys.items():
+            same &= F.col(column) == F.col(f"_{k}")
+        return rows.join(table, same, "left").drop("hot", "salt", "_salt", *(f"_{k}" for k in keys))
+
+    def best(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (``before, after, chunk, token, bare`` and others) with ``best``: the likeliest words there and their shares."""
+        both = self._joined(asked, self.between, {"l": "before", "r": "after"}, "pair")
+        both = self._joined(both, self.after, {"l": "before"}, "single")
+        return both.withColumn("best", F.coalesce("pair", "single")).drop("pair", "single")
 
     def fill(self, left: list[str], right: list[str]) -> list[tuple[list[str], list[float]]]:
-        out = []
-        for a, b in zip(left, right):
-            best = self.between.get((a, b)) or self.after.get(a) or []
-            out.append(([w for w, _ in best], [p for _, p in best]))
-        return out
+        """The same for a few places at once."""
+        rows = [(i, 0, a, b, "") for i, (a, b) in enumerate(zip(left, right))]
+        asked = self.between.sparkSession.createDataFrame(rows, "token int, chunk int, before string, after string, bare string")
+        found = {r["token"]: r["best"] or [] for r in self.best(asked).collect()}  # as many as asked
+        return [([b["m"] for b in found[i]], [b["p"] for b in found[i]]) for i in range(len(rows))]
 
 
-def model_flags(rows: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def model_flags(rows: DataFrame, scorer: Scorer | NgramScorer, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, token, original, suggestion, position, confidence, context`` of words that the scorer finds unlikely.
 
     Words that a rule flags already are left out before they are scored.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(scorer)
     bare = lambda w: F.btrim(w, F.lit(tx.PUNCTUATION))
     parts = tx.exploded(rows, (key, text), tx.word_chunks(F.col(text), CHUNK), "sentence", "chunk")
     words = tx.exploded(parts.select(key, text, "chunk", tx.tokens(F.col("sentence")).alias("ws")), (key, text, "chunk", "ws"), F.col("ws"), "original", "i")
@@ -89,6 +119,16 @@ def model_flags(rows: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, k
         F.coalesce(bare(F.get("ws", F.col("i") - 1)), F.lit("")).alias("before"), F.coalesce(bare(F.get("ws", F.col("i") + 1)), F.lit("")).alias("after"), around.alias("context"),
     )
 
+    if isinstance(scorer, NgramScorer):
+        own = F.filter("best", lambda b: b["m"] == F.col("bare"))
+        judged = F.struct(
+            F.coalesce(F.get("best", F.lit(0))["m"], F.lit("")).alias("suggestion"), F.coalesce(F.get("best", F.lit(0))["p"], F.lit(0.0)).alias("confidence"),
+            F.coalesce(F.get(own, F.lit(0))["p"], F.lit(0.0)).alias("p"),
+        )
+        return _unlikely(scorer.best(asked).withColumn("s", judged), threshold, key)
+
+    shared = rows.sparkSession.sparkContext.broadcast(scorer)
+
     @F.pandas_udf("suggestion string, confidence double, p double")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -100,12 +140,15 @@ def model_flags(rows: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, k
                 "p": [dict(zip(ws, ps)).get(w, 0.0) for w, (ws, ps) in zip(word, found)],
             })
 
-    scored = asked.withColumn("s", judge("bare", "before", "after"))
+    return _unlikely(asked.withColumn("s", judge("bare", "before", "after")), threshold, key)
+
+
+def _unlikely(scored: DataFrame, threshold: float, key: str) -> DataFrame:
     return scored.where(F.col("s.p") < threshold).select(key, "chunk", "token", "original", "s.suggestion", "position", "s.confidence", "context")
 
 
 def correct(
-    rows: DataFrame, scorer: Scorer | None = None, auto_correct: bool = False, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text"
+    rows: DataFrame, scorer: Scorer | NgramScorer | None = None, auto_correct: bool = False, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``key, text, corrected_text, flags, n_flagged, n_corrected`` of every text; ``key`` is unique.
 
