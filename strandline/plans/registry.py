@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster names in ``spark.checkpoint.dir``; a temporary one only in one process."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/strandline-{name}/{uuid.uuid4().hex}"
+
+
 # SQL of the functions that many queries use; \s and \p{L} of the engine at hand know ASCII and Unicode respectively
 WS = r"[\t-\r\x{85}\p{Z}]"
 NOT_WS = r"[^\t-\r\x{85}\p{Z}]"

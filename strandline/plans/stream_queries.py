@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.plans.registry import query
+from strandline.plans.registry import query, shared_folder
 from strandline.streaming import incremental
 
 
-def _folder(spark: SparkSession) -> str:
-    """Under the shared folder of the cluster, if there is one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/strandline-stream/{uuid.uuid4().hex}"
-
-
 @query("""
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2
 HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and type as a stream writes them: days that the watermark has passed."""
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
