@@ -3,13 +3,17 @@
 Words are counted over all training texts; the base score is their add-one unigram probability. The model factors a word as
 its class given the two words before it, times the word given its class. The most frequent words are classes of their own, all
 others share classes by a hash of their last bytes, so a class is known for every word, seen or not. Classes are predicted from
-hashed indicator features of the context: either word before (the second as a skip feature), both together, and neither.
-Within a class, words have add-one shares of its training tokens, and one share is kept for unseen words.
+hashed indicator features of the context. Features of words: the word before, and the word before that as a skip feature, each by
+its own 64-bit hash, so there are as many as the training texts have distinct words. Features of classes, which serve rare words:
+either class before, both together, and neither. Within a class, words have add-one shares of its training tokens, and one share is kept for unseen words.
 
 Training is full-batch: the sufficient statistics, tokens by context and class, are summed over the whole training corpus,
 and every update adds up gradients that Spark tasks compute from their share of them; a step compares observed with
-expected feature counts, as iterative scaling does. Scores are read from log-probabilities of
-the batch's distinct contexts, which numpy computes from the sparse features.
+expected feature counts, as iterative scaling does. Features of classes are trained first. Then each word's features are trained
+where all its counts meet, against the counts that the features of classes expect around it; a pair of feature and class has a
+weight only if it adds GAIN to the log-likelihood. The trained weights go by shuffle to the blocks that have the word. Scores are
+read from log-probabilities of the batch's distinct contexts, which numpy computes from the sparse features; each token's share is
+then changed by the weights of the words before it and normalised over all classes.
 
 Counting avoids a row for each token: every task packs its documents into compressed blocks of bounded size, which are written
 once; a block reports each distinct word once, and gets its count back the same way. So a very frequent word has one row a
@@ -31,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.ipc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +50,13 @@ SCORED_TOKENS = 200_000  # scored at once
 STEPS = 8
 PARTS = 4  # tasks that share the gradient
 PACE = 0.25  # four features are on at once
+BEFORE, AFTER, SECOND = 0, CLASSES + 1, 2 * CLASSES + 1  # slots of the classes around a word
+SLOTS = 3 * CLASSES + 1
+PRIOR, GAIN, WORD_PACE = 30.0, 3.0, 0.7  # word features: prior tokens, least gain in nats, share of a step
+PIECE_TEXTS = 100_000
+MOST = (1 << 23) - 1
+WORDS_AT_ONCE = 4_096
+GAINS_AT_ONCE = 20_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -160,41 +172,228 @@ def _block_words(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "block bigint, word binary, n bigint")
 
 
-def _statistics(blocks: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """``context, class, n`` over training texts: at most (CLASSES + 1) ** 2 * CLASSES rows, whatever the input."""
+def _evidence(blocks: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """What the training texts say, in one pass: ``block, key, data``.
+
+    A row of a block tells which classes stand before, after and second after a word, for each distinct word of the block without
+    a class of its own (words of held-out texts have empty data). Rows of block -1 hold a task's tokens by context and class.
+    """
     shared = blocks.sparkSession.sparkContext.broadcast(head)  # HEAD words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = dict(shared.value)
         sums = np.zeros(((CLASSES + 1) ** 2) * CLASSES, np.int32)
         for batch in batches:
-            for payload in batch.column("payload").to_pylist():
-                rows = _unpacked(payload)
-                for text, held in zip(rows.column("text").to_pylist(), rows.column("held_out").to_pylist()):
-                    if held:
-                        continue
-                    classes = _classes(tokens(text), known)
-                    np.add.at(sums, contexts(classes, np.array([0])) * CLASSES + classes, 1)
-                if len(known) > 400_000:
-                    known = dict(shared.value)
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+                rows, index, parts, held = _unpacked(payload), {}, [], []
+                for text, out in zip(rows.column("text").to_pylist(), rows.column("held_out").to_pylist()):
+                    parts.append(np.array([index.setdefault(w, len(index)) for w in tokens(text)], np.int32))
+                    held.append(out)
+                del rows
+                words = list(index)
+                own = np.fromiter((shared.value.get(w, -1) for w in words), np.int32, len(words))
+                keys = np.fromiter((word_key(w) if c < 0 else 0 for w, c in zip(words, own)), np.uint64, len(words))
+                own[own < 0] = HEAD + (keys[own < 0] % TAIL).astype(np.int32)
+                parts = [x for x, out in zip(parts, held) if not out]
+                for at in range(0, max(len(parts), 1), PIECE_TEXTS):
+                    part = parts[at : at + PIECE_TEXTS]
+                    flat = np.concatenate(part) if part else np.zeros(0, np.int32)
+                    starts = np.cumsum([0] + [len(x) for x in part])[:-1]
+                    classes = own[flat]
+                    own_contexts = contexts(classes, starts) if len(flat) else np.zeros(0, np.int64)
+                    where, n = np.unique(own_contexts * CLASSES + classes, return_counts=True)
+                    sums[where] += n.astype(np.int32)
+                    data = _neighbours(flat, classes, own_contexts, own, len(words))
+                    # held-out words are named once, with the first piece
+                    use = np.flatnonzero((own >= HEAD) & ((np.diff(data[0]) > 0) | (at == 0)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(use), block)), pa.array(keys[use].view(np.int64)), _binaries(*data).take(pa.array(use))],
+                        ["block", "key", "data"],
+                    )
         at = np.flatnonzero(sums)
+        chunks = [np.stack([c // CLASSES, c % CLASSES, sums[c]]).astype(np.int32).tobytes() for c in np.array_split(at, len(at) // 8192 + 1)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(sums[at].astype(np.int64))],
-            ["context", "class", "n"],
+            [pa.array([-1] * len(chunks), pa.int64()), pa.array([0] * len(chunks), pa.int64()), pa.array(chunks, pa.binary())], ["block", "key", "data"]
         )
 
-    summed = blocks.select("payload").mapInArrow(run, "context int, class int, n bigint").groupBy("context", "class").agg(F.sum("n").alias("n"))
-    return summed.repartition(PARTS, "context")
+    return blocks.mapInArrow(run, "block bigint, key bigint, data binary")
+
+
+def word_key(word: bytes) -> int:
+    """A word's hash; its low bits are its class among the TAIL, so that a key tells the class."""
+    return xxhash.xxh3_64_intdigest(word) & ~(TAIL - 1) | (tail_class(word) - HEAD)
+
+
+def _binaries(offsets: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    """Values between offsets as one binary each."""
+    at = (offsets * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _neighbours(flat: np.ndarray, classes: np.ndarray, context: np.ndarray, own: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets by word, and ``slot << 23 | count`` of the classes around its places."""
+    tail = np.flatnonzero(own[flat] >= HEAD)
+    found = []
+    for first, step in ((BEFORE, 0), (AFTER, 1), (SECOND, 2)):
+        at = tail[tail + step < len(flat)]
+        if step == 2:
+            at = at[classes[at + 1] != 0]  # the end mark is followed by another text
+        side = context[at] % (CLASSES + 1) if step == 0 else classes[at + step]
+        found.append(np.unique(flat[at].astype(np.int64) * 512 + first + side, return_counts=True))
+    keys, counts = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+    order = np.argsort(keys)
+    records = (counts[order] - 1) // MOST + 1  # a count over MOST takes several
+    keys, left = np.repeat(keys[order], records), np.repeat(counts[order], records)
+    counts = np.minimum(left - MOST * (np.arange(len(keys)) - np.repeat(np.cumsum(records) - records, records)), MOST)
+    return np.searchsorted(keys // 512, np.arange(words + 1)), ((keys % 512) << 23 | counts).astype(np.uint32)
+
+
+def _statistics(evidence: DataFrame) -> DataFrame:
+    """``context, class, n`` over training texts, for the features of classes: at most (CLASSES + 1) ** 2 * CLASSES rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                context, label, n = np.frombuffer(data, np.int32).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(label), pa.array(n.astype(np.int64))], ["context", "class", "n"])
+
+    rows = evidence.where("block = -1").select("data").mapInArrow(run, "context int, class int, n bigint")
+    return rows.groupBy("context", "class").agg(F.sum("n").alias("n")).repartition(PARTS, "context")
 
 
-def _classes(found: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    get = known.get
-    out = [get(w, -1) for w in found]
-    if -1 in out:
-        for k, c in enumerate(out):
-            if c < 0:
-                out[k] = known[found[k]] = tail_class(found[k])
-    return np.array(out, np.int64)
+def word_weights(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Weights of word features, a row each, by class: zero where a pair of feature and class isn't selected.
+
+    ``expected`` are the counts that the features of classes alone expect. A pair is selected if it was seen twice, or less than
+    expected, and adds GAIN to the log-likelihood; selected ones take STEPS updates along the smoothed gradient.
+    """
+    n = observed.sum(axis=1, keepdims=True)
+    q = np.maximum(expected, 1e-9)
+    q = q / q.sum(axis=1, keepdims=True)
+    prior = PRIOR * q
+    w = np.log(observed + prior) - np.log((n + PRIOR) * q)
+    gain = observed * w - n * np.log1p(q * np.expm1(w))
+    chosen = (gain >= GAIN) & ((observed >= 2) | (w < 0))
+    target, w = np.log(observed + prior), np.zeros_like(q)
+    for _ in range(STEPS):
+        e = q * np.exp(w)
+        e *= n / e.sum(axis=1, keepdims=True)
+        w += np.where(chosen, WORD_PACE * (target - np.log(e + prior)), 0)
+    return w
+
+
+def _word_features(evidence: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``block, key, data``: the weights of the features of each word of a block, if it has any, as ``kind, class, half float``.
+
+    All counts of a word meet in one task, which reads them in a stream and holds sums of one size, and 8 bytes for each block that
+    has the word; the features thus grow with the vocabulary, and no table of them is held anywhere as a whole.
+    """
+    shared = evidence.sparkSession.sparkContext.broadcast(weights)  # HASHES x CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = CLASSES + 1
+        every, tail = np.arange(k), HEAD + np.arange(TAIL)
+        shares = lambda c: np.exp(log_probabilities(shared.value, c.ravel())).reshape(*c.shape, CLASSES)
+        after, second = shares(every[None, :] * k + tail[:, None]), shares(tail[:, None] * k + every[None, 1:CLASSES])
+
+        def trained(key: np.ndarray, sums: np.ndarray) -> pa.BinaryArray:
+            both = [np.zeros((len(key), CLASSES)) for _ in range(2)]
+            kind = (key.view(np.uint64) % TAIL).astype(np.int64)
+            for c in np.unique(kind):
+                at = np.flatnonzero(kind == c)
+                both[0][at] = sums[at, BEFORE:AFTER] @ after[c]
+                both[1][at] = sums[at, AFTER + 1 : SECOND] @ second[c]
+            w = np.concatenate([word_weights(sums[:, AFTER:SECOND], both[0]), word_weights(sums[:, SECOND:], both[1])], axis=1)
+            row, column = np.nonzero(w)
+            packed = column.astype(np.uint32) << 16 | w[row, column].astype(np.float16).view(np.uint16)
+            return _binaries(np.searchsorted(row, np.arange(len(key) + 1)), packed.astype(np.uint32))
+
+        def rows(block: np.ndarray, key: np.ndarray, data: pa.Array) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(block), pa.array(key), data], ["block", "key", "data"])
+            return out.filter(pa.compute.greater(pa.compute.binary_length(data), 0))
+
+        open_key, open_sums, open_blocks = None, np.zeros(SLOTS), []
+        for whole in batches:
+            for at in range(0, whole.num_rows, WORDS_AT_ONCE):
+                batch = whole.slice(at, WORDS_AT_ONCE)
+                key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
+                data = batch.column("data").to_pylist()
+                own, where = np.unique(key, return_inverse=True)
+                flat = np.frombuffer(b"".join(data), np.uint32)
+                owner = np.repeat(where, np.fromiter(map(len, data), np.int64, len(data)) // 4)
+                slot, n = (flat >> 23).astype(np.int64), (flat & MOST).astype(np.float64)
+                sums = np.bincount(owner * SLOTS + slot, n, len(own) * SLOTS).reshape(len(own), SLOTS)
+                if open_key is not None and own[0] != open_key:
+                    found = trained(np.array([open_key]), open_sums[None])
+                    for blocks in open_blocks:
+                        yield rows(blocks, np.full(len(blocks), open_key), found.take(pa.array(np.zeros(len(blocks), np.int32))))
+                    open_key, open_sums, open_blocks = None, np.zeros(SLOTS), []
+                if open_key is not None:
+                    sums[0] += open_sums
+                    if len(own) > 1:
+                        found = trained(own[:1], sums[:1])
+                        for blocks in open_blocks:
+                            yield rows(blocks, np.full(len(blocks), open_key), found.take(pa.array(np.zeros(len(blocks), np.int32))))
+                        open_blocks = []
+                if len(own) > 1:
+                    ended = np.flatnonzero(where < len(own) - 1)
+                    yield rows(block[ended], key[ended], trained(own[:-1], sums[:-1]).take(pa.array(where[ended])))
+                open_key, open_sums = int(own[-1]), sums[-1].copy()
+                open_blocks.append(block[where == len(own) - 1].copy())
+        if open_key is not None:
+            found = trained(np.array([open_key]), open_sums[None])
+            for blocks in open_blocks:
+                yield rows(blocks, np.full(len(blocks), open_key), found.take(pa.array(np.zeros(len(blocks), np.int32))))
+
+    words = evidence.where("block >= 0").repartition("key").sortWithinPartitions("key")
+    return words.mapInArrow(run, "block bigint, key bigint, data binary")
+
+
+class WordFeatures:
+    """Weights of a block's words, looked up by word; words without any share row 0."""
+
+    def __init__(self, keys: np.ndarray, data: list[bytes], words: list[bytes], own: np.ndarray):
+        order = np.argsort(keys)
+        keys, sizes = keys[order], np.fromiter(map(len, data), np.int64, len(data))[order] // 4
+        self.flat = np.frombuffer(b"".join(data[i] for i in order), np.uint32)
+        self.ends = np.cumsum(np.concatenate([[0, 0], sizes]))
+        self.row = np.zeros(len(words), np.int64)
+        if len(keys):
+            tail = np.flatnonzero(own >= HEAD)
+            asked = np.fromiter((word_key(words[i]) for i in tail), np.uint64, len(tail)).view(np.int64)
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            self.row[tail] = np.where(keys[at] == asked, at + 1, 0)
+
+    def factors(self, rows: np.ndarray, kind: int) -> np.ndarray:
+        """exp of the weights of ``kind`` (0: the word before, 1: the one before that), by row and class."""
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        at = np.repeat(self.ends[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        flat, owner = self.flat[at], np.repeat(np.arange(len(rows)), sizes)
+        slot = (flat >> 16).astype(np.int64)
+        use = slot // CLASSES == kind
+        out = np.ones((len(rows), CLASSES), np.float32)
+        out[owner[use], slot[use] % CLASSES] = np.exp((flat[use] & 0xFFFF).astype(np.uint16).view(np.float16).astype(np.float32))
+        return out
+
+    def gains(self, flat: np.ndarray, starts: np.ndarray, classes: np.ndarray, shares: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """What the words before add to the natural logarithm of each token's class share; ``shares[where]`` are those without them."""
+        before, second = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        before[1:] = self.row[flat[:-1]]
+        before[starts] = 0
+        second[2:] = self.row[flat[:-2]]
+        second[starts] = 0
+        second[starts[starts + 1 < len(flat)] + 1] = 0
+        out = np.zeros(len(flat))
+        active = np.flatnonzero((before > 0) | (second > 0))
+        for at in range(0, len(active), GAINS_AT_ONCE):
+            part = active[at : at + GAINS_AT_ONCE]
+            product = None
+            for kind, rows in enumerate((before[part], second[part])):
+                own, inverse = np.unique(rows, return_inverse=True)
+                found = self.factors(own, kind)[inverse]
+                product = found if product is None else product * found
+            total = np.einsum("ij,ij->i", shares[where[part]], product)
+            out[part] = np.log(product[np.arange(len(part)), classes[part]]) - np.log(total)
+        return out
 
 
 def _gradient(statistics: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,16 +472,21 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
     mass = np.ones(CLASSES)
     for r in by_class:
         mass[r["class"]] += r["mass"]
-    statistics = materialise(_statistics(blocks, head), "statistics")
-    model = spark.sparkContext.broadcast(Model(head, _train(statistics), mass, total, distinct))
+    evidence = materialise(_evidence(blocks, head), "evidence")
+    weights = _train(materialise(_statistics(evidence), "statistics"))
+    features_of = materialise(_word_features(evidence, weights), "features")
+    model = spark.sparkContext.broadcast(Model(head, weights, mass, total, distinct))
 
     def each(words: pa.Table, rows: pa.Table) -> pa.Table:
         m = model.value
+        is_word = pa.compute.is_valid(words.column("word"))
+        trained, words = words.filter(pa.compute.invert(is_word)), words.filter(is_word)
         counts = words.column("c").to_numpy()
         index = {bytes(w): k for k, w in enumerate(words.column("word").to_pylist())}
         class_of = np.fromiter(map(m.class_of, index), np.int32, len(index))
         known, gain = counts > 0, np.log10(counts + 1.0)
         weight = np.log10(m.mass)[class_of]
+        added = WordFeatures(trained.column("c").to_numpy(), trained.column("data").to_pylist(), list(index), class_of)
         rows = _unpacked(rows.column("payload")[0].as_py())
         texts, sizes, sums = rows.column("text"), [], []
 
@@ -291,7 +495,9 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
             starts = np.cumsum([0] + [len(x) for x in part])[:-1]
             classes = class_of[flat]
             own, where = np.unique(contexts(classes, starts), return_inverse=True)
-            logs = log_probabilities(m.weights, own)[where, classes] / math.log(10)
+            table = log_probabilities(m.weights, own)
+            logs = table[where, classes] + added.gains(flat, starts, classes, np.exp(table), where)
+            logs = logs / math.log(10)
             each_sum = lambda x: np.add.reduceat(x, starts)
             sums.append(np.stack([each_sum(known[flat].astype(np.float64)), each_sum(gain[flat]), each_sum(gain[flat] + logs - weight[flat])]))
 
@@ -312,7 +518,8 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
 
     kind = dict(docs.dtypes)["doc_id"]
     return (
-        counted.select("block", "word", "c").groupBy("block")
+        counted.selectExpr("block", "word", "c", "cast(null as binary) as data")
+        .union(features_of.selectExpr("block", "cast(null as binary)", "key", "data")).groupBy("block")
         .cogroup(blocks.groupBy("block"))
         .applyInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     )

@@ -77,3 +77,78 @@ def test_probabilities_of_a_context_add_up():
     assert at.tolist() == [none * k + none, none * k + 3, none * k + none, none * k + 5]
     rng = random.Random(1)
     assert all(lm.HEAD <= lm.tail_class(bytes([rng.randint(0, 255)] * rng.randint(1, 4))) < lm.CLASSES for _ in range(200))
+
+
+def test_word_features_against_plain_counts(spark):
+    """Counts of neighbours, selection and updates, for every word, by plain loops."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + rng.choice("xyz") for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += ["marker follower other"] * 9 + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    head = {lm.END: 0, b"abx": 1, b"other": 2}
+    weights = np.random.default_rng(3).normal(size=(lm.HASHES, lm.CLASSES)).astype(np.float32) / 4
+    blocks = lm._packed(docs.repartition(3), "doc_id % 5 = 1").cache()
+    got = {(r["block"], r["key"]): bytes(r["data"]) for r in lm._word_features(lm._evidence(blocks, head), weights).collect()}
+    by_key = {}
+    for (_, key), data in got.items():
+        assert by_key.setdefault(key, data) == data  # each block has the same weights
+    class_of = lambda w: head.get(w, lm.tail_class(w))
+    share = lambda a, b: np.exp(lm.log_probabilities(weights, np.array([a * (lm.CLASSES + 1) + b]))[0].astype(float))
+    seen, expected = {}, {}
+    for i, t in enumerate(texts):
+        if i % 5 == 1:
+            continue
+        ws = lm.tokens(t)
+        for k, w in enumerate(ws):
+            for kind, back in ((0, 1), (1, 2)):
+                if k >= back and ws[k - back] not in head:
+                    a = class_of(ws[k - 2]) if k >= 2 else lm.CLASSES
+                    key = kind, ws[k - back]
+                    seen.setdefault(key, np.zeros(lm.CLASSES))[class_of(w)] += 1
+                    expected[key] = expected.get(key, 0) + share(a, class_of(ws[k - 1]))
+    words = {w for _, w in seen}
+    assert words
+    for w in words:
+        want = {}
+        for kind in (0, 1):
+            if (kind, w) in seen:
+                found = lm.word_weights(seen[kind, w][None], expected[kind, w][None])[0]
+                want |= {kind * lm.CLASSES + c: x for c, x in enumerate(found) if x}
+        key = int(np.uint64(lm.word_key(w)).view(np.int64))
+        flat = np.frombuffer(by_key.get(key, b""), np.uint32)
+        have = dict(zip((flat >> 16).tolist(), (flat & 0xFFFF).astype(np.uint16).view(np.float16).astype(float)))
+        assert have == pytest.approx(want, abs=4e-3)
+    assert int(np.uint64(lm.word_key(b"marker")).view(np.int64)) in by_key
+    assert lm.word_weights(np.array([[9.0, 1, 0]]), np.array([[1.0, 1, 8]]))[0][1] == 0
+
+
+def test_gains_keep_probabilities_normalised():
+    words = [b"aa", b"bb", b"the"]
+    own = np.array([lm.tail_class(b"aa"), lm.tail_class(b"bb"), 1])
+    pack = lambda kind, c, x: (kind * lm.CLASSES + c) << 16 | int(np.float16(x).view(np.uint16))
+    key = lambda w: np.uint64(lm.word_key(w)).view(np.int64)
+    data = [np.array([pack(0, 1, 1.5), pack(1, 3, -1)], np.uint32).tobytes(), np.array([pack(0, 1, -2), pack(1, 1, 0.5)], np.uint32).tobytes()]
+    table = lm.WordFeatures(np.array([key(b"aa"), key(b"bb")]), data, words, own)
+    shares = np.random.default_rng(0).dirichlet(np.ones(lm.CLASSES), 1).astype(np.float32)
+    total = np.zeros(3)
+    for c in range(lm.CLASSES):  # the third token, after aa bb; a text of its own begins at the fourth
+        flat = np.array([0, 1, 2, 2])
+        classes = np.array([c, c, c, c])
+        gains = table.gains(flat, np.array([0, 3]), classes, shares, np.zeros(4, int))
+        assert gains[0] == gains[3] == 0
+        total += shares[0, c] * np.exp(gains[:3])
+        w = {1: -2.0, 3: -1.0}
+        z = sum(shares[0, k] * math.exp(w.get(k, 0)) for k in range(lm.CLASSES))
+        assert gains[2] == pytest.approx(w.get(c, 0) - math.log(z), abs=1e-3)
+    assert total == pytest.approx(np.ones(3), rel=1e-4)
+
+
+def test_large_counts_take_several_records(monkeypatch):
+    monkeypatch.setattr(lm, "MOST", 3)
+    flat = np.zeros(8, np.int64)
+    classes = np.full(8, lm.HEAD)
+    offsets, values = lm._neighbours(flat, classes, lm.contexts(classes, np.array([0])), np.array([lm.HEAD]), 1)
+    n = Counter()
+    for v in values.tolist():
+        n[v >> 23] += v & 0x7FFFFF
+    assert offsets.tolist() == [0, len(values)] and n == {lm.BEFORE + lm.CLASSES: 1, lm.BEFORE + lm.HEAD: 7, lm.AFTER + lm.HEAD: 7, lm.SECOND + lm.HEAD: 6}
