@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -79,6 +80,23 @@ def test_probabilities_of_a_context_add_up():
     assert all(lm.HEAD <= lm.tail_class(bytes([rng.randint(0, 255)] * rng.randint(1, 4))) < lm.CLASSES for _ in range(200))
 
 
+def trained(observed, expected):
+    """Selected classes and their weights of one feature, over all classes without shortcuts."""
+    n, q = observed.sum(), np.maximum(expected, 1e-9) / np.maximum(expected, 1e-9).sum()
+    chosen, w = [], np.zeros(len(q))
+    for c in range(len(q)):
+        first = math.log((observed[c] + lm.PRIOR * q[c]) / ((n + lm.PRIOR) * q[c]))
+        gain = observed[c] * first - n * math.log1p(q[c] * math.expm1(first))
+        if gain >= lm.GAIN and (observed[c] >= 2 or first < 0):
+            chosen.append(c)
+    for _ in range(lm.STEPS):
+        e = q * np.exp(w)
+        e *= n / e.sum()
+        for c in chosen:
+            w[c] += lm.WORD_PACE * (math.log(observed[c] + lm.PRIOR * q[c]) - math.log(e[c] + lm.PRIOR * q[c]))
+    return {c: w[c] for c in chosen}
+
+
 def test_word_features_against_plain_counts(spark):
     """Counts of neighbours, selection and updates, for every word, by plain loops."""
     rng = random.Random(5)
@@ -88,10 +106,11 @@ def test_word_features_against_plain_counts(spark):
     head = {lm.END: 0, b"abx": 1, b"other": 2}
     weights = np.random.default_rng(3).normal(size=(lm.HASHES, lm.CLASSES)).astype(np.float32) / 4
     blocks = lm._packed(docs.repartition(3), "doc_id % 5 = 1").cache()
-    got = {(r["block"], r["key"]): bytes(r["data"]) for r in lm._word_features(lm._evidence(blocks, head), weights).collect()}
+    evidence = lm._evidence(blocks, head).cache()
+    key_of = {(r["block"], r["place"]): r["key"] for r in evidence.where("block >= 0").collect()}
     by_key = {}
-    for (_, key), data in got.items():
-        assert by_key.setdefault(key, data) == data  # each block has the same weights
+    for r in lm._word_features(evidence, weights).collect():
+        assert by_key.setdefault(key_of[r["block"], r["place"]], bytes(r["data"])) == bytes(r["data"])  # each block has the same weights
     class_of = lambda w: head.get(w, lm.tail_class(w))
     share = lambda a, b: np.exp(lm.log_probabilities(weights, np.array([a * (lm.CLASSES + 1) + b]))[0].astype(float))
     seen, expected = {}, {}
@@ -112,35 +131,31 @@ def test_word_features_against_plain_counts(spark):
         want = {}
         for kind in (0, 1):
             if (kind, w) in seen:
-                found = lm.word_weights(seen[kind, w][None], expected[kind, w][None])[0]
-                want |= {kind * lm.CLASSES + c: x for c, x in enumerate(found) if x}
+                want |= {kind * lm.CLASSES + c: x for c, x in trained(seen[kind, w], expected[kind, w]).items()}
         key = int(np.uint64(lm.word_key(w)).view(np.int64))
-        flat = np.frombuffer(by_key.get(key, b""), np.uint32)
-        have = dict(zip((flat >> 16).tolist(), (flat & 0xFFFF).astype(np.uint16).view(np.float16).astype(float)))
+        flat = np.frombuffer(by_key.get(key, b""), lm.WEIGHT)
+        have = dict(zip(flat["slot"].tolist(), flat["w"].astype(float)))
         assert have == pytest.approx(want, abs=4e-3)
     assert int(np.uint64(lm.word_key(b"marker")).view(np.int64)) in by_key
-    assert lm.word_weights(np.array([[9.0, 1, 0]]), np.array([[1.0, 1, 8]]))[0][1] == 0
+    assert 1 not in trained(np.array([9.0, 1, 0]), np.array([1.0, 1, 8]))
 
 
 def test_gains_keep_probabilities_normalised():
-    words = [b"aa", b"bb", b"the"]
-    own = np.array([lm.tail_class(b"aa"), lm.tail_class(b"bb"), 1])
-    pack = lambda kind, c, x: (kind * lm.CLASSES + c) << 16 | int(np.float16(x).view(np.uint16))
-    key = lambda w: np.uint64(lm.word_key(w)).view(np.int64)
-    data = [np.array([pack(0, 1, 1.5), pack(1, 3, -1)], np.uint32).tobytes(), np.array([pack(0, 1, -2), pack(1, 1, 0.5)], np.uint32).tobytes()]
-    table = lm.WordFeatures(np.array([key(b"aa"), key(b"bb")]), data, words, own)
+    pack = lambda *x: np.array([(kind * lm.CLASSES + c, w) for kind, c, w in x], lm.WEIGHT).tobytes()
+    data = pa.array([pack((0, 1, -2), (1, 1, 0.5)), pack((0, 1, 1.5), (1, 3, -1))], pa.binary())
+    table = lm.WordFeatures(np.array([1, 0]), data, 3)
     shares = np.random.default_rng(0).dirichlet(np.ones(lm.CLASSES), 1).astype(np.float32)
     total = np.zeros(3)
-    for c in range(lm.CLASSES):  # the third token, after aa bb; a text of its own begins at the fourth
+    for c in range(lm.CLASSES):  # the third token stands after words 0 and 1; a text of its own begins at the fourth
         flat = np.array([0, 1, 2, 2])
-        classes = np.array([c, c, c, c])
-        gains = table.gains(flat, np.array([0, 3]), classes, shares, np.zeros(4, int))
+        gains = table.gains(flat, np.array([0, 3]), np.array([c, c, c, c]), shares, np.zeros(4, int))
         assert gains[0] == gains[3] == 0
         total += shares[0, c] * np.exp(gains[:3])
         w = {1: -2.0, 3: -1.0}
         z = sum(shares[0, k] * math.exp(w.get(k, 0)) for k in range(lm.CLASSES))
         assert gains[2] == pytest.approx(w.get(c, 0) - math.log(z), abs=1e-3)
     assert total == pytest.approx(np.ones(3), rel=1e-4)
+    assert lm.WordFeatures(np.zeros(0, np.int32), pa.array([], pa.binary()), 3).row.sum() == 0
 
 
 def test_large_counts_take_several_records(monkeypatch):
@@ -150,5 +165,5 @@ def test_large_counts_take_several_records(monkeypatch):
     offsets, values = lm._neighbours(flat, classes, lm.contexts(classes, np.array([0])), np.array([lm.HEAD]), 1)
     n = Counter()
     for v in values.tolist():
-        n[v >> 23] += v & 0x7FFFFF
+        n[v >> 7] += v & 127
     assert offsets.tolist() == [0, len(values)] and n == {lm.BEFORE + lm.CLASSES: 1, lm.BEFORE + lm.HEAD: 7, lm.AFTER + lm.HEAD: 7, lm.SECOND + lm.HEAD: 6}
