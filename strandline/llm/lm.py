@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._common import materialise
+from strandline.llm._common import materialise, remove
 
 END = b""  # no word is empty
 HEAD, TAIL = 112, 16  # classes of single words, and of all other words
@@ -499,6 +499,7 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
     evidence = materialise(_evidence(blocks, head), "evidence")
     weights = _train(materialise(_statistics(evidence), "statistics"))
     features_of = materialise(_word_features(evidence, weights), "features")
+    remove(evidence)  # its counts are as large as the features
     model = spark.sparkContext.broadcast(Model(head, weights, mass, total, distinct))
 
     def each(words: pa.Table, rows: pa.Table) -> pa.Table:
