@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._common import materialise, remove
+from strandline.llm._common import bound_batches, materialise, remove, slices
 
 END = b""  # no word is empty
 HEAD, TAIL = 112, 16  # classes of single words, and of all other words
@@ -153,6 +153,12 @@ def _unpacked(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
+def _texts(rows: pa.Table) -> Iterator[tuple[str | None, bool]]:
+    """Texts and whether they are held out, as Python objects only batch by batch."""
+    for part in rows.to_batches():
+        yield from zip(part.column("text").to_pylist(), part.column("held_out").to_pylist())
+
+
 def _block_words(blocks: DataFrame) -> DataFrame:
     """``block, place, word, n``: each distinct word of a block once, at its place by first occurrence, with its training tokens."""
 
@@ -160,19 +166,24 @@ def _block_words(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
                 rows, words = _unpacked(payload), Counter()
-                for text, held in zip(rows.column("text").to_pylist(), rows.column("held_out").to_pylist()):
+                for text, held in _texts(rows):
                     if held:
                         for w in tokens(text):
                             words[w] += 0
                     else:
                         words.update(tokens(text))
-                yield pa.RecordBatch.from_arrays(
+                del rows
+                found = pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)),
                         pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64()),
                     ],
                     ["block", "place", "word", "n"],
                 )
+                del words
+                yield from slices(found)
+                del found
+                pa.default_memory_pool().release_unused()
 
     return blocks.mapInArrow(run, "block bigint, place int, word binary, n bigint")
 
@@ -190,7 +201,7 @@ def _evidence(blocks: DataFrame, head: dict[bytes, int]) -> DataFrame:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
                 rows, index, parts, held = _unpacked(payload), {}, [], []
-                for text, out in zip(rows.column("text").to_pylist(), rows.column("held_out").to_pylist()):
+                for text, out in _texts(rows):
                     parts.append(np.array([index.setdefault(w, len(index)) for w in tokens(text)], np.int32))
                     held.append(out)
                 del rows
@@ -473,6 +484,7 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     blocks = materialise(_packed(docs, held), "blocks")  # so that a recomputed task can't pack otherwise
     same = Window.partitionBy("word")  # as many rows as blocks
     counted = materialise(
