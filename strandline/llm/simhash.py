@@ -161,8 +161,9 @@ def links(fps: DataFrame) -> DataFrame:
     spark = fps.sparkSession
     rows = candidates(fps)
     full = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("asks")).alias("homes")).where("homes > 0 and n > 1")
-    # cells where two or more meet: the rest of the rows need not move again
-    met = rows.join(full, "cell").withColumn("chunks", F.ceil(F.col("n") / CELL).cast("int"))
+    # cells where two or more meet: the rest of the rows need not move again. Spark takes either side for no larger than the
+    # fingerprints, of which each makes some 34 rows, and would broadcast it through the driver
+    met = rows.join(full.hint("merge"), "cell").withColumn("chunks", F.ceil(F.col("n") / CELL).cast("int"))
     part = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     # home chunk i meets chunk j of the asking and, for i <= j, of the other homes
     many = F.when(
@@ -209,8 +210,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = components(links(distinct.select("fp")))
     named = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # left, so that only the side of fewer rows may be broadcast: the files of the other may be small and its rows many
+    named = named.join(names, "root", "left").select("fp", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str, size: int = NEAR_SHINGLE) -> tuple[int, np.ndarray]:

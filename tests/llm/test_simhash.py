@@ -64,6 +64,15 @@ def test_every_link_is_connected(spark, monkeypatch, cell):
     assert groups(got) == groups(want)
 
 
+def test_tables_that_grow_do_not_pass_the_driver(spark):
+    """Spark's sizes are of files, and leave out that a print makes some 34 rows: at 0.6 GB of documents it broadcast those."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    cells = plan(simhash.links(simhash.materialise(prints_table(spark, range(1, 50)), "prints")))
+    assert "SortMergeJoin" in cells and "Broadcast" not in cells
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id bigint, text string")
+    assert "BuildLeft" not in plan(simhash.near_duplicates(docs))
+
+
 def test_documents(spark):
     base = " ".join(f"word{i}" for i in range(400))
     near = base.replace("word200 ", "other ")
