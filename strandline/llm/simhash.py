@@ -13,9 +13,10 @@ no task holds an unbounded group and no link is lost. Components come from alter
 the links (Kiveris et al., "Connected components in MapReduce and beyond"), each written to the shared folder.
 
 ``keep_one`` has a criterion of its own: texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-more. Fingerprints of 64 bits can't tell these, as such pairs differ in some ten bits. Candidates are texts that share one of
-``BANDS`` bands of ``ROWS`` MinHash values, which a pair at 0.8 misses with a probability of 5e-8; each candidate pair is then
-verified on the whole sets. First every text is compared with the first text of a few of its cells. Then texts go that can't be
+more. The same search, over the same fingerprints, gives its first candidates: texts of one fingerprint, and links of the grid.
+It can't tell all, as most pairs at 0.8 differ in more than three bits. So texts that share one of ``BANDS`` bands of ``ROWS``
+MinHash values are candidates besides, which a pair at 0.8 misses with a probability of 5e-8; each candidate pair is then verified
+on the whole sets. With the grid's, every text is compared with the first text of a few of its cells. Then texts go that can't be
 similar to any other of those not connected yet, as too many of their shingles stand in none. What is left is dealt by cell, with
 its shingles, and each text outside a cell's largest component is held against the whole cell, through the list of texts that
 each shingle stands in; a cell reports a spanning forest of links. A cell of over ``CHUNK`` shingles is cut into chunks and every
@@ -235,7 +236,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, node, n, bands`` of every row; rows with the same words are one node."""
+    """``doc_id, h, node, n, fp, bands`` of every row; rows with the same words are one node."""
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,14 +244,16 @@ def _nodes(docs: DataFrame) -> DataFrame:
             cells = np.array([bands(s) for _, s in found], np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(cells))
             node, n = np.array([x for x, _ in found], np.uint64).view(np.int64), np.array([len(s) for _, s in found], np.int64)
+            fps = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array(node), pa.array(n), lists], ["doc_id", "h", "node", "n", "bands"]
+                [batch.column("doc_id"), batch.column("h"), pa.array(node), pa.array(n), pa.array(fps), lists],
+                ["doc_id", "h", "node", "n", "fp", "bands"],
             )
 
         return each
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return map_texts(rows, start, "doc_id bigint, h bigint, node bigint, n bigint, bands array<bigint>")
+    return map_texts(rows, start, "doc_id bigint, h bigint, node bigint, n bigint, fp bigint, bands array<bigint>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -266,14 +269,25 @@ def _sets(texts: DataFrame) -> DataFrame:
     return map_texts(texts, start, "node bigint, shingles array<bigint>")
 
 
+def grid_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes, not verified yet: the first node of each fingerprint with its others, and with those of linked fingerprints."""
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    same = nodes.select("node", "fp").distinct().join(firsts, "fp", "left").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    left, right = firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    near = links(firsts.select("fp")).join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return materialise(same.where("a != b").unionByName(near).distinct(), "grid")
+
+
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links ``a, b`` of nodes with a similarity of ``NEAR`` or more: enough of them to connect whatever is linked."""
+    grid = grid_pairs(nodes)
     cells = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "n", F.explode("bands").alias("cell"))
     own = Window.partitionBy("cell")
     met = cells.select("cell", "node", "n", F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"))
     met = materialise(met.where("least != most").drop("least", "most"), "cells")
-    # one text of each node that meets another
-    of = nodes.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
+    # one text of each node that meets another, in a cell of either kind
+    meeting = met.select("node").unionByName(grid.select(F.col("a").alias("node"))).unionByName(grid.select(F.col("b").alias("node")))
+    of = nodes.join(meeting.distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
     texts = docs.select(F.xxhash64("text").alias("h"), "text").join(of, "h").dropDuplicates(["node"])
     sets = materialise(_sets(texts.select("node", "text")), "shingles")
     met = met.select("cell", "node", "n")
@@ -291,7 +305,7 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     asked = met.withColumn("p", first).where("node != p.node").withColumn("m", F.col("p.n")).where(able)
     some = F.row_number().over(Window.partitionBy("node").orderBy(order))  # BANDS rows at most
     stars = asked.withColumn("k", some).where(F.col("k") <= ASKED).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-    linked = verified(stars.distinct(), "stars")
+    linked = verified(grid.unionByName(stars).distinct(), "stars")
     roots = met.join(components(linked), "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"))
     left = _apart(_able(_apart(roots), sets)).join(sets, "node")
     # of a large cell, every two chunks meet

@@ -121,3 +121,29 @@ def test_keep_one_joins_similar_texts_whose_prints_differ(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
     assert len(set(label)) > 41
+
+
+def test_keep_one_searches_the_grid_of_fingerprints(spark):
+    """Texts whose fingerprints link and whose sets are similar are joined though they share no band; others that link are not."""
+    rng = random.Random(3)
+
+    def edited(n, at):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        some = [f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+        return " ".join(words), " ".join(some)
+
+    def linking(n, at):
+        while True:
+            a, b = edited(n, at)
+            if 0 < (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 3:
+                return a, b
+
+    near, far = linking(400, {200}), linking(80, {20, 60})
+    assert five_word_similarity(*near) >= 0.8 > five_word_similarity(*far)
+    again = "a b c d e f a b c d e f a b c d e f"  # as many distinct shingles in a longer text
+    texts = [*near, *far, again, again + " a b c d e f", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    nodes = simhash._nodes(docs).withColumn("bands", F.array("node"))
+    node = {r["doc_id"]: r["node"] for r in nodes.collect()}
+    found = {frozenset((r["a"], r["b"])) for r in simhash.near_links(docs, nodes).collect()}
+    assert found == {frozenset((node[0], node[1])), frozenset((node[4], node[5]))}
