@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
+FREE_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, level: int = 3) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is read many times."""
-    path = f"{shared_dir(df.sparkSession)}/strandline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, level: int = 3, free: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is read many times.
+
+    With ``free`` the shuffle files of its making go at once; else they stay until the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREE_SHUFFLE)
+    spark.conf.set(FREE_SHUFFLE, str(free or before == "true").lower())
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:

@@ -25,10 +25,10 @@ of zero. Repeated rows count and score as often as they come; other columns are
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +47,8 @@ HEAD, TAIL = 112, 16  # classes of single words, and of all other words
 CLASSES = HEAD + TAIL
 HASHES = 1 << 15
 BLOCK_BYTES = 12 << 20  # of text; a longer document is a block of its own
-SCORED_TOKENS = 200_000  # scored at once
+TOKENISED_BYTES = 1 << 20  # of text, made tokens at once
+SCORED_TOKENS = 25_000  # scored at once
 STEPS = 8
 PARTS = 4  # tasks that share the gradient
 PACE = 0.25  # four features are on at once
@@ -62,15 +63,48 @@ GAINS_AT_ONCE = 1_000
 
 
 def tokens(text: str | None) -> list[bytes]:
+    """The tokens of one text; ``tokenised`` gives the same for many."""
     out = (text or "").encode().lower().split()  # of bytes: A-Z alone, and only ASCII spaces
     out.append(END)
     return out
 
 
+def tokenised(texts: pa.ChunkedArray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """The distinct words by first occurrence, the number of each token's word, and the tokens of each text; no token is a Python object."""
+    pc, found, sizes = pa.compute, [], []
+    for part in itertools.chain.from_iterable(_slices(chunk) for chunk in texts.chunks):
+        part = pc.ascii_trim_whitespace(pc.ascii_lower(part))
+        closed = pc.if_else(pc.equal(part, ""), part, pc.binary_join_element_wise(part, "", " "))
+        lists = pc.ascii_split_whitespace(closed)  # behind a last space, and in an empty text, stands the empty word: the end
+        found.append(lists.flatten().dictionary_encode())
+        sizes.append(lists.value_lengths().to_numpy())
+    del part, closed, lists
+    coded = pa.chunked_array(found).unify_dictionaries()
+    words, numbers = coded.chunk(0).dictionary.cast(pa.binary()), np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    del found, coded
+    pa.default_memory_pool().release_unused()
+    return words, numbers, np.concatenate(sizes).astype(np.int64)
+
+
+def _slices(texts: pa.StringArray) -> Iterator[pa.StringArray]:
+    rows = max(1, len(texts) * TOKENISED_BYTES // max(texts.nbytes, 1))
+    for at in range(0, max(len(texts), 1), rows):
+        yield texts.slice(at, rows)
+
+
 def tail_class(word: bytes) -> int:
     return HEAD + zlib.crc32(word[-2:]) % TAIL
 
 
+def classes_of(words: pa.BinaryArray, head: dict[bytes, int]) -> np.ndarray:
+    """The class of each word: its own, or one of the TAIL."""
+    own = pa.compute.index_in(words, pa.array(list(head), pa.binary()))
+    last = pa.compute.binary_slice(words, -2).dictionary_encode()  # few distinct ones
+    tail = np.array([tail_class(w) for w in last.dictionary.to_pylist()], np.int32)[last.indices.to_numpy()]
+    found = np.fromiter(head.values(), np.int32, len(head))[own.fill_null(0).to_numpy()]
+    return np.where(own.is_valid().to_numpy(zero_copy_only=False), found, tail)
+
+
 def features(context: np.ndarray) -> np.ndarray:
     """The four hashed features of contexts ``a * (CLASSES + 1) + b`` (b the class before, a the one before that)."""
     a, b = context // (CLASSES + 1), context % (CLASSES + 1)
@@ -93,14 +127,14 @@ def log_probabilities(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     head: dict[bytes, int]
-    weights: np.ndarray
+    logs: np.ndarray  # log_probabilities of all contexts
     mass: np.ndarray  # of each class: its add-one tokens and one for unseen words
     tokens: int
     distinct: int
 
-    def class_of(self, word: bytes) -> int:
-        found = self.head.get(word)
-        return tail_class(word) if found is None else found
+    @functools.cached_property
+    def shares(self) -> np.ndarray:
+        return np.exp(self.logs)
 
 
 def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -153,34 +187,20 @@ def _unpacked(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def _texts(rows: pa.Table) -> Iterator[tuple[str | None, bool]]:
-    """Texts and whether they are held out, as Python objects only batch by batch."""
-    for part in rows.to_batches():
-        yield from zip(part.column("text").to_pylist(), part.column("held_out").to_pylist())
-
-
 def _block_words(blocks: DataFrame) -> DataFrame:
     """``block, place, word, n``: each distinct word of a block once, at its place by first occurrence, with its training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                rows, words = _unpacked(payload), Counter()
-                for text, held in _texts(rows):
-                    if held:
-                        for w in tokens(text):
-                            words[w] += 0
-                    else:
-                        words.update(tokens(text))
-                del rows
+                rows = _unpacked(payload)
+                words, flat, sizes = tokenised(rows.column("text"))
+                n = np.bincount(flat[np.repeat(~rows.column("held_out").to_numpy(), sizes)], minlength=len(words))
                 found = pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)),
-                        pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64()),
-                    ],
+                    [pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), words, pa.array(n)],
                     ["block", "place", "word", "n"],
                 )
-                del words
+                del rows, words, flat
                 yield from slices(found)
                 del found
                 pa.default_memory_pool().release_unused()
@@ -200,25 +220,20 @@ def _evidence(blocks: DataFrame, head: dict[bytes, int]) -> DataFrame:
         sums = np.zeros(((CLASSES + 1) ** 2) * CLASSES, np.int32)
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                rows, index, parts, held = _unpacked(payload), {}, [], []
-                for text, out in _texts(rows):
-                    parts.append(np.array([index.setdefault(w, len(index)) for w in tokens(text)], np.int32))
-                    held.append(out)
+                rows = _unpacked(payload)
+                words, every, sizes = tokenised(rows.column("text"))
+                train = ~rows.column("held_out").to_numpy()
                 del rows
-                words = list(index)
-                own = np.fromiter((shared.value.get(w, -1) for w in words), np.int32, len(words))
-                keys = np.fromiter((word_key(w) if c < 0 else 0 for w, c in zip(words, own)), np.uint64, len(words))
-                own[own < 0] = HEAD + (keys[own < 0] % TAIL).astype(np.int32)
-                parts = [x for x, out in zip(parts, held) if not out]
-                for at in range(0, max(len(parts), 1), PIECE_TEXTS):
-                    part = parts[at : at + PIECE_TEXTS]
-                    flat = np.concatenate(part) if part else np.zeros(0, np.int32)
-                    starts = np.cumsum([0] + [len(x) for x in part])[:-1]
+                every, ends = every[np.repeat(train, sizes)], np.concatenate([[0], np.cumsum(sizes[train])])
+                own = classes_of(words, shared.value)
+                keys = word_keys(words, own)
+                for at in range(0, max(len(ends) - 1, 1), PIECE_TEXTS):
+                    cuts = ends[at : at + PIECE_TEXTS + 1]
+                    flat, starts = every[cuts[0] : cuts[-1]], cuts[:-1] - cuts[0]
                     classes = own[flat]
                     own_contexts = contexts(classes, starts) if len(flat) else np.zeros(0, np.int64)
-                    where, n = np.unique(own_contexts * CLASSES + classes, return_counts=True)
-                    sums[where] += n.astype(np.int32)
-                    data = _neighbours(flat, classes, own_contexts, own, len(words))
+                    sums += np.bincount(own_contexts * CLASSES + classes, minlength=len(sums)).astype(np.int32)
+                    data = _neighbours(flat, classes, own_contexts, own, len(own))
                     # held-out words are named once, with the first piece
                     use = np.flatnonzero((own >= HEAD) & ((np.diff(data[0]) > 0) | (at == 0)))
                     yield pa.RecordBatch.from_arrays(
@@ -243,7 +258,13 @@ def _evidence(blocks: DataFrame, head: dict[bytes, int]) -> DataFrame:
 
 def word_key(word: bytes) -> int:
     """A word's hash; its low bits are its class among the TAIL, so that a key tells the class."""
-    return xxhash.xxh3_64_intdigest(word) & ~(TAIL - 1) | (tail_class(word) - HEAD)
+    return int(word_keys(pa.array([word], pa.binary()), np.array([tail_class(word)]))[0])
+
+
+def word_keys(words: pa.BinaryArray, classes: np.ndarray) -> np.ndarray:
+    """As ``word_key``, for words of these classes; those of the head have no key of use."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words))
+    return hashes & ~np.uint64(TAIL - 1) | (classes % TAIL).astype(np.uint64)  # HEAD is a multiple of TAIL
 
 
 def _binaries(offsets: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
@@ -386,23 +407,27 @@ class WordFeatures:
     def __init__(self, place: np.ndarray, data: pa.Array, words: int):
         data = pa.array([], pa.binary()) if not len(data) else data
         lengths = pa.compute.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // WEIGHT.itemsize
-        self.flat = np.frombuffer(b"".join(data.to_pylist()), WEIGHT)
-        self.slot = self.flat["slot"].astype(np.int64)
-        self.ends = np.cumsum(np.concatenate([[0, 0], lengths]))
+        first = data.buffers()[1] and np.frombuffer(data.buffers()[1], np.int32)[data.offset]
+        flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)[first or 0 :][: int(lengths.sum()) * WEIGHT.itemsize].view(WEIGHT)
         owner = np.repeat(np.arange(1, len(data) + 1), lengths)
         self.row = np.zeros((2, words), np.int64)
+        self.ends, self.slot, self.factor = [], [], []
         for kind in range(2):
-            has = np.unique(owner[self.slot // CLASSES == kind])
+            use = np.flatnonzero(flat["slot"] // CLASSES == kind)
+            n = np.bincount(owner[use], minlength=len(data) + 1)
+            has = np.flatnonzero(n)
             self.row[kind, place[has - 1]] = has
+            self.ends.append(np.concatenate([[0], np.cumsum(n)]))
+            self.slot.append((flat["slot"][use] % CLASSES).astype(np.int64))
+            self.factor.append(np.exp(flat["w"][use].astype(np.float32)))
 
     def factors(self, rows: np.ndarray, kind: int) -> np.ndarray:
         """exp of the weights of ``kind`` (0: the word before, 1: the one before that), by row and class."""
-        sizes = self.ends[rows + 1] - self.ends[rows]
-        at = np.repeat(self.ends[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        use = self.slot[at] // CLASSES == kind
+        ends = self.ends[kind]
+        sizes = ends[rows + 1] - ends[rows]
+        at = np.repeat(ends[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         out = np.ones((len(rows), CLASSES), np.float32)
-        out[owner[use], self.slot[at[use]] % CLASSES] = np.exp(self.flat["w"][at[use]].astype(np.float32))
+        out[np.repeat(np.arange(len(rows)), sizes), self.slot[kind][at]] = self.factor[kind][at]
         return out
 
     def gains(self, flat: np.ndarray, starts: np.ndarray, classes: np.ndarray, shares: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -414,9 +439,10 @@ class WordFeatures:
         rows[1, starts[starts + 1 < len(flat)] + 1] = 0
         factors, at = [], []
         for kind in range(2):
-            own, inverse = np.unique(rows[kind], return_inverse=True)
-            factors.append(self.factors(own, kind))
-            at.append(inverse)
+            used = np.zeros(len(self.ends[kind]) - 1, bool)
+            used[rows[kind]] = True
+            factors.append(self.factors(np.flatnonzero(used), kind))
+            at.append((np.cumsum(used) - 1)[rows[kind]])
         out = np.zeros(len(flat))
         active = (rows[0] > 0) + 2 * (rows[1] > 0)
         for which in (1, 2, 3):
@@ -492,6 +518,7 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
             "block", "place", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")
         ),
         "words",
+        free=True,
     )
     once = counted.where("first and c > 0")
     total, distinct = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -509,10 +536,11 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
     for r in by_class:
         mass[r["class"]] += r["mass"]
     evidence = materialise(_evidence(blocks, head), "evidence")
-    weights = _train(materialise(_statistics(evidence), "statistics"))
-    features_of = materialise(_word_features(evidence, weights), "features")
+    weights = _train(materialise(_statistics(evidence), "statistics", free=True))
+    features_of = materialise(_word_features(evidence, weights), "features", free=True)
     remove(evidence)  # its counts are as large as the features
-    model = spark.sparkContext.broadcast(Model(head, weights, mass, total, distinct))
+    logs = log_probabilities(weights, np.arange((CLASSES + 1) ** 2))  # half as large as the weights
+    model = spark.sparkContext.broadcast(Model(head, logs, mass, total, distinct))
 
     def each(words: pa.Table, rows: pa.Table) -> pa.Table:
         m = model.value
@@ -521,37 +549,22 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(coalesce(cast(doc_i
         counts = np.zeros(len(words), np.int64)
         counts[words.column("place").to_numpy()] = words.column("c").to_numpy()
         added = WordFeatures(trained.column("place").to_numpy(), trained.column("data").combine_chunks(), len(words))
-        index: dict[bytes, int] = {}
         known, gain = counts > 0, np.log10(counts + 1.0)
-        class_of, weight, shares = np.zeros(len(words), np.int32), np.zeros(len(words)), np.log10(m.mass)
         rows = _unpacked(rows.column("payload")[0].as_py())
-        texts, sizes, sums = rows.column("text"), [], []
-
-        def scored(part: list[np.ndarray]) -> None:
-            nonlocal classified
-            for k, w in enumerate(itertools.islice(index, classified, None), classified):
-                class_of[k] = m.class_of(w)
-            weight[classified : len(index)] = shares[class_of[classified : len(index)]]
-            classified = len(index)
-            flat = np.concatenate(part)
-            starts = np.cumsum([0] + [len(x) for x in part])[:-1]
+        words, every, n = tokenised(rows.column("text"))
+        class_of = classes_of(words, m.head)
+        weight, ends, sums = np.log10(m.mass)[class_of], np.concatenate([[0], np.cumsum(n)]), []
+        at = 0
+        while at < len(n):  # some texts are scored at once
+            stop = int(np.searchsorted(ends, min(ends[at] + SCORED_TOKENS, ends[-1])))
+            flat, starts = every[ends[at] : ends[stop]], ends[at:stop] - ends[at]
             classes = class_of[flat]
-            own, where = np.unique(contexts(classes, starts), return_inverse=True)
-            table = log_probabilities(m.weights, own)
-            logs = table[where, classes] + added.gains(flat, starts, classes, np.exp(table), where)
+            where = contexts(classes, starts)
+            logs = m.logs[where, classes] + added.gains(flat, starts, classes, m.shares, where)
             logs = logs / math.log(10)
-            each_sum = lambda x: np.add.reduceat(x, starts)
+            each_sum = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
             sums.append(np.stack([each_sum(known[flat].astype(np.float64)), each_sum(gain[flat]), each_sum(gain[flat] + logs - weight[flat])]))
-
-        part, held, classified = [], 0, 0
-        for k in range(len(texts)):  # words become numbers text by text, and some texts are scored at once
-            part.append(np.array([index.setdefault(w, len(index)) for w in tokens(texts[k].as_py())], np.int32))
-            sizes.append(len(part[-1]))
-            held += sizes[-1]
-            if held >= SCORED_TOKENS or k + 1 == len(texts):
-                scored(part)
-                part, held = [], 0
-        n = np.array(sizes, np.int64)
+            at = stop
         seen, base, score = np.concatenate(sums, axis=1)
         return pa.table({
             "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": n, "n_known": seen.astype(np.int64),

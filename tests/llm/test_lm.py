@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -167,3 +168,66 @@ def test_large_counts_take_several_records(monkeypatch):
     for v in values.tolist():
         n[v >> 7] += v & 127
     assert offsets.tolist() == [0, len(values)] and n == {lm.BEFORE + lm.CLASSES: 1, lm.BEFORE + lm.HEAD: 7, lm.AFTER + lm.HEAD: 7, lm.SECOND + lm.HEAD: 6}
+
+
+ODD = ["A b\ta", "", " ", "  lead", "trail \n", "a\x0b\x0cb\r\nC", "a\x1cb c\x85d\u00a0e\u2003f", "\u00c9t\u00c9 \u0130 \u03a3", "x " * 300, "a\x00b \x00", "b a b"]
+
+
+def test_tokens_in_arrow_are_those_of_each_text():
+    texts = pa.chunked_array([pa.array(ODD[:4]), pa.array([], pa.string()), pa.array(["skipped", *ODD[4:]])[1:]])
+    words, numbers, sizes = lm.tokenised(texts)
+    want = [lm.tokens(t) for t in ODD]
+    assert sizes.tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    assert [words[n].as_py() for n in numbers.tolist()] == flat and words.to_pylist() == list(dict.fromkeys(flat))
+    head = {lm.END: 0, b"b": 1, b"skipped": 2}
+    assert lm.classes_of(words, head).tolist() == [head.get(w, lm.tail_class(w)) for w in words.to_pylist()]
+    got = lm.word_keys(words, lm.classes_of(words, head)).tolist()
+    assert [k for k, w in zip(got, words.to_pylist()) if w not in head] == [lm.word_key(w) for w in words.to_pylist() if w not in head]
+
+
+class Plain:
+    """Stands for a DataFrame and its session; keeps the function that would run over its batches."""
+
+    def __init__(self, shared=None):
+        self.sparkSession = self.sparkContext = self
+        self.value = shared
+
+    def broadcast(self, value):
+        return Plain(value)
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_no_step_makes_an_object_of_each_token(monkeypatch):
+    """Three steps that did took most of the query's CPU seconds."""
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b a", "c a"]), pa.array([False, True])], ["doc_id", "text", "held_out"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_batch(rows)
+    block = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+
+    def tokens(text):
+        raise AssertionError("tokens as Python objects")
+
+    monkeypatch.setattr(lm, "tokens", tokens)
+    (found,) = lm._block_words(Plain())(iter([block]))
+    assert found.column("word").to_pylist() == [b"a", b"b", b"", b"c"] and found.column("n").to_pylist() == [2, 1, 1, 0]
+    of, sums = lm._evidence(Plain(), {lm.END: 0, b"a": 1})(iter([block]))
+    assert of.column("place").to_pylist() == [1, 3] and [len(x) for x in of.column("data").to_pylist()] == [6, 0]
+    assert np.frombuffer(sums.column("data")[0].as_py(), np.int32).reshape(3, -1)[2].sum() == 4
+
+
+def test_shuffle_files_of_a_table_go_when_it_is_written(spark):
+    from strandline.llm import _common
+
+    manager, setting = spark._jvm.org.apache.spark.SparkEnv.get().blockManager(), spark.conf.get(_common.FREE_SHUFFLE)
+    files = lambda: {f for f in manager.diskBlockManager().getAllFiles().mkString("\n").split() if "shuffle_" in f}
+    before = files()
+    table = _common.materialise(spark.range(100).repartition(3, "id"), "freed", free=True)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 100 and spark.conf.get(_common.FREE_SHUFFLE) == setting
