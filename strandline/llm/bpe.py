@@ -33,6 +33,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
@@ -46,6 +47,7 @@ _NEVER, _NONE = 1 << 60, 1 << 61
 _LETTERS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 _SPACES = regex.compile(r"\p{White_Space}+")
+_WIDE_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # those that Arrow doesn't split at
 _ODD_SPACES = re.compile(r"[\x1c-\x1f]")  # spaces to str.split only
 
 
@@ -339,12 +341,15 @@ class Encoder:
         self.own = {f" {s}": np.array([i], machine.kind).tobytes() for s, i in machine.special.items()}
 
     @staticmethod
-    def _split(text: str) -> list[str]:
+    def _folded(text: str) -> str:
         if text.isascii():
-            text = text.lower()
-        else:
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # sigma is folded without its context
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # sigma is folded without its context
+
+    @classmethod
+    def _split(cls, text: str) -> list[str]:
+        text = cls._folded(text)
         return _SPACES.split(text) if _ODD_SPACES.search(text) else text.split()
 
     def runs(self, text: str) -> list[str]:
@@ -376,16 +381,25 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) >= CACHE_RUNS:
             self.seen, self.older = {}, self.seen
-        of = [self.runs(t) for t in texts]
+        # texts with special strings are cut apart; the runs of all others are numbered and put together by Arrow
+        apart = {k: self.runs(t) for k, t in enumerate(texts) if self.cut is not None and self.cut.search(t)}
+        folded = ["" if k in apart else self._folded(t) for k, t in enumerate(texts)]
+        folded = [t if t.isascii() else _WIDE_SPACES.sub(" ", t) for t in folded]
+        lists = pa.compute.ascii_split_whitespace(pa.array(folded, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         seen, older, new = self.seen, self.older, []
         seen.update(self.own)
-        for r in set().union(*of) - seen.keys():
+        for r in set(own).union(*apart.values()) - seen.keys():
             if (known := older.get(r)) is None:
                 new.append(r)
             else:
                 seen[r] = known
         self._learn(new)
-        return [b"".join(map(seen.__getitem__, runs)) for runs in of]
+        flat = pa.array([seen[r] for r in own], pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        cuts, raw = ends[lists.offsets.to_numpy()].tolist(), memoryview(flat.buffers()[2] or b"")
+        return [b"".join(map(seen.__getitem__, apart[k])) if k in apart else bytes(raw[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 _ready: dict[str, Automaton] = {}

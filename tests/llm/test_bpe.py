@@ -56,3 +56,20 @@ def test_whole_documents(spark, library):
 def test_long_words_take_linear_time():
     machine = bpe.automaton(str(vocabulary()))
     assert len(machine.encode("ab" * 50_000)) > 0
+
+
+def test_runs_of_a_batch_are_numbered_in_arrow(monkeypatch):
+    """A Python object for each run of each text took much of the CPU seconds of training order; the ids are the same."""
+    from strandline.llm import bpe, queries
+
+    machine = bpe.automaton(str(queries.vocabulary()))
+    texts = ["", " ", "  Lead it's", "trail \n", "a\x1cb c\x85d e f　g h", "ÉtÉ İ ΣΑΣ", "x" * 300, "b a b", "a" + next(iter(machine.special)) + " b"]
+    apart = bpe.Encoder(machine)
+    runs = [apart.runs(t) for t in texts]
+    apart._learn([r for rs in runs for r in rs if not r.startswith(" ")])
+    apart.seen.update(apart.own)
+    want = [b"".join(apart.seen[r] for r in rs) for rs in runs]
+    monkeypatch.setattr(bpe.Encoder, "_split", lambda *_: pytest.fail("runs as Python objects"))
+    assert bpe.Encoder(machine).encode(texts[:-1]) == want[:-1]
+    monkeypatch.undo()
+    assert bpe.Encoder(machine).encode(texts) == want
