@@ -7,18 +7,20 @@ from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 BATCH_BYTES = 4 << 20
 
 
 def batched(kind: str) -> Callable[[Callable], Callable[..., Column]]:
-    """A pandas function as a function of columns; the type is read when it is first used."""
+    """A pandas function, or one over iterators of Arrow arrays, as a function of columns; the type is read when it is first used."""
 
     def declare(fn: Callable) -> Callable[..., Column]:
         @wraps(fn)
         def column(*columns) -> Column:
-            return pandas_udf(fn, kind)(*columns)
+            if spark := SparkSession.getActiveSession():
+                bound_batches(spark)
+            return (arrow_udf if "pa." in str(fn.__annotations__) else pandas_udf)(fn, kind)(*columns)
 
         return column
 
@@ -30,8 +32,8 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch | pa.Array) -> Iterator[pa.RecordBatch | pa.Array]:
     """A batch in parts of some BATCH_BYTES, so that only that much is held as Python objects at once."""
-    rows = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))
-    for at in range(0, batch.num_rows, rows):
+    rows = max(1, int(len(batch) * BATCH_BYTES / max(batch.nbytes, 1)))
+    for at in range(0, len(batch), rows):
         yield batch.slice(at, rows)

@@ -7,19 +7,21 @@ arrays of lines of words. All rules on words, lines and blocks are Spark SQL fun
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, chain
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
-from strandline.functions.arrow import batched
+from strandline.functions.arrow import batched, parts
 from strandline.operators.layout import page_text, page_words, reading_order
 
 WORD = "struct<content:string,kind:string,whole:string>"
 RAW_BLOCK = f"struct<block_id:string,vpos:int,hpos:int,lines:array<array<{WORD}>>>"
-RAW = f"page_width int, page_height int, ocr_software string, blocks array<{RAW_BLOCK}>, error string"
+RAW = f"page_width:int,page_height:int,ocr_software:string,blocks:array<{RAW_BLOCK}>,error:string"
 NOISY = 0.3
 
 
@@ -31,41 +33,73 @@ def _whole(element: ElementTree.Element | None, name: str) -> int:
     return round(float(element.get(name) or 0)) if element is not None else 0
 
 
-def read_tree(content: bytes) -> dict:
-    """What a page's tree holds; elements count in the namespace of the root only."""
+def _tree(content: bytes) -> tuple:
+    """Width, height, software and blocks (id, vertical and horizontal place, lines of words) of a page, as tuples.
+
+    Elements count in the namespace of the root only.
+    """
     root = ElementTree.fromstring(content)
     space = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
     page, software = root.find(f".//{space}Page"), root.find(f".//{space}softwareName")
+    words: dict[object, bool] = {}  # whether a tag is a word's
+
+    def line_of(line: ElementTree.Element) -> list[tuple[str, str, str]]:
+        out = []
+        for w in line:
+            if (known := words.get(w.tag)) is None:
+                known = words[w.tag] = _local(w.tag) == "String"
+            if known:
+                get = w.attrib.get
+                out.append((get("CONTENT", ""), get("SUBS_TYPE", ""), get("SUBS_CONTENT", "")))
+        return out
+
     blocks = [
-        {
-            "block_id": block.get("ID", ""), "vpos": _whole(block, "VPOS"), "hpos": _whole(block, "HPOS"),
-            "lines": [
-                [
-                    {"content": w.get("CONTENT", ""), "kind": w.get("SUBS_TYPE", ""), "whole": w.get("SUBS_CONTENT", "")}
-                    for w in line if _local(w.tag) == "String"
-                ]
-                for line in block.iter(f"{space}TextLine")
-            ],
-        }
+        (block.get("ID", ""), _whole(block, "VPOS"), _whole(block, "HPOS"), [line_of(line) for line in block.iter(f"{space}TextLine")])
         for block in root.iter(f"{space}TextBlock")
-    ]
-    return {
-        "page_width": _whole(page, "WIDTH"), "page_height": _whole(page, "HEIGHT"),
-        "ocr_software": (software.text or "").strip() if software is not None else "", "blocks": blocks, "error": None,
-    }
+    ]
+    return _whole(page, "WIDTH"), _whole(page, "HEIGHT"), (software.text or "").strip() if software is not None else "", blocks
 
 
-@batched(RAW)
-def _parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = ("page_width", "page_height", "ocr_software", "blocks", "error")
+def read_tree(content: bytes) -> dict:
+    """What a page's tree holds."""
+    width, height, software, blocks = _tree(content)
+    word = lambda w: dict(zip(("content", "kind", "whole"), w))
+    found = [{"block_id": k, "vpos": v, "hpos": h, "lines": [[word(w) for w in line] for line in lines]} for k, v, h, lines in blocks]
+    return {"page_width": width, "page_height": height, "ocr_software": software, "blocks": found, "error": None}
+
+
+def _lists(lists: list[list], of: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(accumulate(map(len, lists), initial=0), pa.int32()), of)
+
+
+def _columns(pages: list[tuple]) -> pa.Array:
+    """Pages (as of ``_tree``, and an error) as one array, built column by column: no dict stands for a word."""
+    width, height, software, per_page, errors = zip(*pages)
+    blocks = list(chain.from_iterable(per_page))
+    ids, vpos, hpos, per_block = zip(*blocks) if blocks else ((), (), (), ())
+    lines = list(chain.from_iterable(per_block))
+    words = list(chain.from_iterable(lines))
+    content, kind, whole = zip(*words) if words else ((), (), ())
+    struct = lambda **columns: pa.StructArray.from_arrays([pa.array(c, k) if k else c for c, k in columns.values()], list(columns))
+    text, number = pa.string(), pa.int32()
+    word = struct(content=(content, text), kind=(kind, text), whole=(whole, text))
+    block = struct(block_id=(ids, text), vpos=(vpos, number), hpos=(hpos, number), lines=(_lists(per_block, _lists(lines, word)), None))
+    return struct(page_width=(width, number), page_height=(height, number), ocr_software=(software, text), blocks=(_lists(per_page, block), None), error=(errors, text))
+
+
+@batched(f"struct<{RAW}>")
+def _parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for contents in batches:
-        rows = []
-        for content in contents:
-            try:
-                rows.append(read_tree(bytes(content)))
-            except (ElementTree.ParseError, ValueError, OverflowError) as e:
-                rows.append({"page_width": 0, "page_height": 0, "ocr_software": "", "blocks": [], "error": f"{type(e).__name__}: {e}"})
-        yield pd.DataFrame({n: [r[n] for r in rows] for n in names})
+        made = []
+        for part in parts(contents):
+            pages = []
+            for content in part.to_pylist():
+                try:
+                    pages.append((*_tree(content), None))
+                except (ElementTree.ParseError, ValueError, OverflowError) as e:
+                    pages.append((0, 0, "", [], f"{type(e).__name__}: {e}"))
+            made.append(_columns(pages))
+        yield pa.concat_arrays(made)
 
 
 @batched("string")

@@ -138,3 +138,21 @@ def test_alto(spark, tmp_path):
     with pytest.raises(Exception, match="ParseError"):
         alto.read(spark, str(tmp_path), fail_fast=True).collect()
     assert segments.articles(alto.read(spark, str(tmp_path)).select("path", "blocks", "page_width")).count() >= 2
+
+
+def test_pages_of_a_large_batch_are_not_held_as_objects_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from strandline.sources import alto as of
+
+    line = '<TextLine><String CONTENT="jää"/><SP/><String SUBS_TYPE="HypPart1" CONTENT="jo" SUBS_CONTENT="joki"/></TextLine>'
+    page = f'<alto><Page WIDTH="7.5"/><TextBlock ID="b" VPOS="3" HPOS="4">{line * 2000}</TextBlock></alto>'.encode()
+    tracemalloc.start()
+    made = [x for x in of._parsed.__wrapped__(iter([pa.array([page] * 150 + [b"<alto", b"<alto/>"])]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, made)) == 152 and peak < 60e6  # of 600,000 words
+    rows = made[0].to_pylist()
+    assert rows[0] == of.read_tree(page) and rows[151] == of.read_tree(b"<alto/>") and rows[150]["error"].startswith("ParseError")
