@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import lexicons as lx
 from strandline.functions import spans as sp
 from strandline.functions import text as tx
+from strandline.functions import words
 from strandline.operators import reports
 from strandline.plans.corpus import PAGES, pages
 from strandline.plans.registry import WS, fold_sql, list_sql, query, sentences_sql, strip_sql, table, tokens_sql
@@ -117,8 +118,8 @@ WITH {PAGES}
 SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[{L}]{{3,}}')) AS word FROM pages)
 WHERE NOT list_contains({list_sql(sorted(lx.STOPWORDS))}, word) GROUP BY 1""")
 def tokenize_no_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tx.exploded(pages(spark, sf_dir), (), tx.word_list(F.col("text")), "word")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = tx.exploded(pages(spark, sf_dir), (), tx.word_list(F.col("text")), "word")
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""
@@ -191,9 +192,9 @@ WITH {PAGES}, {TOKENS}, bare AS (SELECT {BARE} AS b, n FROM distinct_words)
 SELECT b AS word, {RULES_SQL} AS rule_name, CAST(sum(n) AS BIGINT) AS n FROM bare WHERE {ADMITTED} AND {RULES_SQL} IS NOT NULL GROUP BY 1, 2""")
 def ocr_rules_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule of each distinct word, so a rule is tried once a word, not once an occurrence."""
-    bare = _words(spark, sf_dir).select(F.btrim("w", F.lit(tx.PUNCTUATION)).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-    kept = bare.where(~F.array_contains(tx.array_of(sorted(lx.WHITELIST)), F.lower("word")) & F.col("word").rlike(f"[{L}]") & (F.length("word") >= 2))
-    return kept.select("word", sp.ocr_rule(F.col("word")).alias("rule_name"), "n").where("rule_name is not null")
+    kept = words.suspicious_counts(pages(spark, sf_dir), "text").where(sp.may_be_flagged(F.col("word")))
+    judged = tx.exploded(kept, ("word", "n"), F.array(sp.ocr_rule(F.col("word"))), "rule_name")
+    return judged.where("rule_name is not null").select("word", "rule_name", "n")
 
 
 @query(f"""
