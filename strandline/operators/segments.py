@@ -1,56 +1,80 @@
 """Articles of a page: boundaries between its blocks, and the text of what lies between them.
 
-Everything works on one row's array of blocks: lexical similarity of the windows before and after each block, the depth of its
-valleys, headers, and the joining of blocks are folds over that array, so no operator shuffles.
+Everything works on one row's array of blocks: the depth of its valleys, headers, and the joining of blocks are folds over that
+array, and lexical similarity of the windows before and after each block is counted in Arrow batches, so no operator shuffles.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import lexicons as lx
-from strandline.functions.text import array_of, exploded, has_any_token, is_header, let, lines, normalize, strip, word_list
+from strandline.functions.arrow import batched, parts
+from strandline.functions.text import array_of, exploded, has_any_token, is_header, let, lines, normalize, strip
 from strandline.operators.layout import column_order
 
 WINDOW, DEPTH, LEAST_WORDS = 3, 0.10, 2
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of the term frequencies of two arrays of words; 0 if one is empty.
+_WORD = re.compile(f"[{lx.LETTERS}]{{3,}}")
 
-    The words of both sides are sorted together; a fold keeps the counts of the current word and updates the three sums.
-    """
-    side = lambda words, k: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(k).alias("side")))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit("").alias("w"), zero.alias("x"), zero.alias("y"), zero.alias("xy"), zero.alias("xx"), zero.alias("yy"))
 
-    def step(acc: Column, t: Column) -> Column:
-        same, left = acc["w"] == t["w"], t["side"] == 0
-        x, y = F.when(same, acc["x"]).otherwise(zero), F.when(same, acc["y"]).otherwise(zero)
-        grown = lambda c, n: F.when(c, 2 * n + 1).otherwise(zero)  # noqa: E731  (n + 1)² - n²
-        return F.struct(
-            t["w"].alias("w"), (x + left.cast("bigint")).alias("x"), (y + (~left).cast("bigint")).alias("y"),
-            (acc["xy"] + F.when(left, y).otherwise(x)).alias("xy"), (acc["xx"] + grown(left, x)).alias("xx"), (acc["yy"] + grown(~left, y)).alias("yy"),
-        )
+def _cosines(pages: list[list[str | None] | None], window: int) -> pa.Array:
+    """For all blocks of some pages at once; sums are of whole numbers, so no order of adding shows in them.
 
-    found = F.aggregate(
-        F.array_sort(F.concat(side(a, 0), side(b, 1))), start, step,
-        lambda s: s["xy"] / (F.sqrt(s["xx"].cast("double")) * F.sqrt(s["yy"].cast("double"))),
-    )
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(found)
+    The words of a block count in the windows that hold it, each at most once a word: sorting brings the counts of either side
+    of a gap together.
+    """
+    sizes = np.array([len(p or ()) for p in pages], "i8")
+    start, end = (np.repeat(x, sizes) for x in (np.cumsum(sizes) - sizes, np.cumsum(sizes)))
+    found = [_WORD.findall(t.lower()) if t else [] for p in pages for t in p or ()]
+    coded = pa.array(chain.from_iterable(found), pa.large_string()).dictionary_encode()
+    said = ~pc.is_in(coded.dictionary, pa.array(sorted(lx.STOPWORDS), pa.large_string())).to_numpy(zero_copy_only=False)
+    ids, most = coded.indices.to_numpy().astype("i8"), max(1, len(said))
+    kept = said[ids]
+    both, n = np.unique((np.repeat(np.arange(len(found)), [len(w) for w in found]) * most + ids)[kept], return_counts=True)
+    block, word = np.divmod(both, most)
+    sides = []  # gap and word, count before, count after
+    for d in range(-window + 1, window + 1):
+        at = np.flatnonzero((block + d >= start[block]) & (block + d < end[block]))
+        sides.append((((block + d) * most + word)[at], n[at] * (d > 0), n[at] * (d <= 0)))
+    key, x, y = (np.concatenate(c) for c in zip(*sides))
+    out = np.zeros(len(found))
+    if len(key):
+        order = np.argsort(key)
+        key, x, y = key[order], x[order], y[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        gap, x, y = key[first] // most, np.add.reduceat(x, first), np.add.reduceat(y, first)
+        xy, xx, yy = (np.bincount(gap, v, len(found)) for v in (x * y, x * x, y * y))
+        at = np.flatnonzero((xx > 0) & (yy > 0))
+        out[at] = xy[at] / (np.sqrt(xx[at]) * np.sqrt(yy[at]))
+    offsets = pa.array([0, *np.cumsum(sizes).tolist()], pa.int32(), mask=np.array([*(p is None for p in pages), False]))
+    return pa.ListArray.from_arrays(offsets, pa.array(out))
+
+
+@cache
+def _similarities(window: int):
+    @batched("array<double>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            made = [_cosines(part.to_pylist(), window) for part in parts(texts)]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.float64()))
+
+    return of
 
 
 def similarities(texts: Column, window: int = WINDOW) -> Column:
-    """For each block the cosine of the blocks before it and those from it on."""
-
-    def of(words: Column) -> Column:
-        return F.transform(words, lambda _, i: cosine(
-            F.flatten(F.slice(words, F.greatest(F.lit(0), i - window) + 1, F.least(i, F.lit(window)))),
-            F.flatten(F.slice(words, i + 1, F.lit(window))),
-        ))
-
-    return let(F.transform(texts, lambda t: word_list(t)), of)
+    """For each block the cosine of the term frequencies of the blocks before it and of those from it on; 0 if a side has no word."""
+    return _similarities(window)(texts)
 
 
 def _climb(values: Column) -> Column:
@@ -119,7 +143,8 @@ def boundaries(texts: Column, window: int = WINDOW, threshold: float = DEPTH, al
         one = lambda gaps, kind: F.transform(gaps, lambda g: F.struct(g.alias("gap"), F.lit(kind).alias("type")))
         return F.array_sort(F.concat(one(p["h"], "header"), one(tiles, "texttiling")))
 
-    both = let(header_gaps(texts), lambda h: F.struct(h.alias("h"), valleys(depths(similarities(texts, window)), h, threshold).alias("v")))
+    given = F.struct(header_gaps(texts).alias("h"), similarities(texts, window).alias("s"))  # no Python inside of a lambda
+    both = let(given, lambda g: F.struct(g["h"].alias("h"), valleys(depths(g["s"]), g["h"], threshold).alias("v")))
     return F.when(F.size(texts) < 2, F.expr("cast(array() as array<struct<gap:int,type:string>>)")).otherwise(let(both, of))
 
 
@@ -174,7 +199,7 @@ def article_segments(
     kept = F.filter("blocks", lambda b: b["word_count"] >= least_words)
     keep = [c for c in pages.columns if c not in ("blocks", "page_width")]
     texts = pages.select(*keep, F.transform(let(kept, lambda k: column_order(k, F.col("page_width"), columns)), lambda b: b["text"]).alias("__texts"))
-    cut = let(F.col("__texts"), lambda t: segments(t, boundaries(t, window, threshold, aligned)))
+    cut = segments(F.col("__texts"), boundaries(F.col("__texts"), window, threshold, aligned))
     rows = exploded(texts, (*keep, "__texts"), cut, "__s", "segment")
     rows = rows.withColumn("__own", F.slice("__texts", F.col("__s.first") + 1, F.col("__s.n_blocks")))
     rows = rows.select(*keep, "segment", joined(F.col("__own")).alias("full_text"), title(F.col("__own")).alias("header"), "__s.n_blocks", "__s.boundary_type")

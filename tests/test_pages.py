@@ -156,3 +156,21 @@ def test_pages_of_a_large_batch_are_not_held_as_objects_at_once():
     assert sum(map(len, made)) == 152 and peak < 60e6  # of 600,000 words
     rows = made[0].to_pylist()
     assert rows[0] == of.read_tree(page) and rows[151] == of.read_tree(b"<alto/>") and rows[150]["error"].startswith("ParseError")
+
+
+@pytest.mark.parametrize("name", ["cosine_adjacent", "texttiling_depth", "valley_merge", "articles", "articles_on_ice", "article_counts"])
+def test_similarities_are_counted_once_and_in_batches(spark, name):
+    from strandline.plans import page_queries as q
+
+    plan = getattr(q, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("window", [1, 2, 5])
+def test_similarities_of_odd_texts(spark, window):
+    rows = [(0, None), (1, []), (2, [""]), (3, ["jää jää", None, "ja", "JÄÄ joki ÅÄÖ", "joki", "åäö KKK kkk"]), (4, ["sama sana"] * 9), (5, ["x" * 3] * 40)]
+    got = dict(map(tuple, spark.createDataFrame(rows, "k int, t array<string>").select("k", segments.similarities(F.col("t"), window)).collect()))
+    flat = lambda part: [w for t in part for w in words(t or "")]
+    for k, texts in rows:
+        want = texts if texts is None else [cosine(flat(texts[max(0, i - window) : i]), flat(texts[i : i + window])) for i in range(len(texts))]
+        assert got[k] == (want if want is None else pytest.approx(want, abs=1e-12))
