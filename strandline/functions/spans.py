@@ -7,6 +7,7 @@ and keyword hits are found natively, by lookahead splits and by lexicon arrays.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,47 @@ _NUMERIC = re.compile(r"\b(\d{1,2})[./](\d{1,2})(?:[./](\d{4}|\d{2}))?\b")
 _YEAR = re.compile(r"(?:vuonna|v\.)\s*(\d{4})\b|\b(1[89]\d{2})\b")
 
 
+# what each kind of date holds, and what re.I takes for ASCII letters beyond ``lower``: a text is searched only where it may have one
+_SEPARATED, _FOUR, _FOLDED = re.compile(r"\d[./]\d"), re.compile(r"\d{4}"), re.compile("[\u0130\u0131\u017f]")
+
+
+def _long_dates(text: str, pattern: re.Pattern) -> Iterator[re.Match]:
+    """What ``pattern.finditer`` gives, tried only where the name of a month, or a day before it, begins."""
+    if _FOLDED.search(text):
+        yield from pattern.finditer(text)
+        return
+    low, places = text.lower(), set()
+    for stem, _ in _STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            places.add(at)
+            at = low.find(stem, at + 1)
+    done = 0
+    for at in sorted(places):
+        if at >= done:
+            m = next((m for s in _day_starts(low, at, done) if (m := pattern.match(text, s))), None) or pattern.match(text, at)
+            if m:
+                done = m.end()
+                yield m
+
+
+def _day_starts(low: str, at: int, least: int) -> Iterator[int]:
+    """Where "11 p:nä " may begin that ends at a place, the first before the second digit."""
+    k = at
+    while k > least and low[k - 1].isspace():
+        k -= 1
+    if k == at or low[max(least, k - 2) : k] not in ("nä", "na"):
+        return
+    k -= 2
+    k -= k > least and low[k - 1] in ":."
+    if k <= least or low[k - 1] != "p":
+        return
+    k -= 1
+    while k > least and low[k - 1].isspace():
+        k -= 1
+    yield from (s for s in (k - 2, k - 1) if s >= least and low[s:k].isdecimal())
+
+
 def _month(word: str) -> int | None:
     low = word.lower()
     return next((n for s, n in _STEMS if s in low), None)
@@ -51,15 +93,15 @@ def dates_of(text: str, fixed_months: bool = False) -> list[dict]:
     def free(m: re.Match) -> bool:
         return all(m.end() <= a or b <= m.start() for a, b in taken)
 
-    for m in filter(free, _NUMERIC.finditer(text)):
+    for m in filter(free, _NUMERIC.finditer(text)) if _SEPARATED.search(text) else ():
         day, month, year = int(m[1]), int(m[2]), m[3]
         if 1 <= day <= 31 and 1 <= month <= 12:
             add(m, "numeric", day, month, None if not year else int(year) + 1900 * (len(year) == 2))
-    for m in filter(free, _LONG[fixed_months].finditer(text)):
+    for m in filter(free, _long_dates(text, _LONG[fixed_months])):
         if (month := _month(m[2])) is not None:
             day = m[1] or m[3]
             add(m, "finnish_long", int(day) if day and int(day) <= 31 else None, month, int(m[4]) if m[4] else None)
-    for m in filter(free, _YEAR.finditer(text)):
+    for m in filter(free, _YEAR.finditer(text)) if _FOUR.search(text) else ():
         add(m, "year_only", None, None, int(m[1] or m[2]))
     return out
 
