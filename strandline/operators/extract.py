@@ -50,18 +50,22 @@ def count_by(rows: DataFrame, values: str, *keys: str, name: str = "value") -> D
 def file_results(rows: DataFrame, matches: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each file that has a match: totals, counts by category and river as maps, and the matches in order.
 
-    Matches, a fraction of the sentences, are gathered by file; a file is of bounded size.
+    Matches, a fraction of the sentences, are found and gathered by file once; a file is of bounded size, and so are its categories
+    and rivers, which are counted in what is gathered.
     """
-    def tally(c: str) -> DataFrame:
-        pairs = count_by(matches, c, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("p"))
-        return pairs.select(key, F.map_from_entries("p").alias(f"{c}_found"))
+    def tally(c: str) -> Column:
+        def counted(values: Column) -> Column:
+            one = lambda v: F.struct(v.alias("value"), F.size(F.filter(values, lambda x: x == v)).cast("bigint").alias("n"))
+            return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(values)), one))
+
+        return tx.let(F.flatten(F.transform("matches", lambda m: m[c])), counted)
 
     totals = rows.select(key, F.size(tx.sentences(F.col(text))).alias("sentences_total"))
     of = matches.groupBy(key, "source_file", "file_year").agg(
         F.count(F.lit(1)).alias("sentences_matched"),
         F.array_sort(F.collect_list(F.struct(*MATCH_COLUMNS))).alias("matches"),
     )
-    out = of.join(totals, key).join(tally("ice_categories"), key).join(tally("rivers"), key)
+    out = of.join(totals, key).select("*", tally("ice_categories").alias("ice_categories_found"), tally("rivers").alias("rivers_found"))
     return out.select(
         key, "source_file", "file_year", "sentences_total", "sentences_matched",
         F.col("ice_categories_found").alias("categories_found"), F.col("rivers_found"), "matches",
