@@ -17,7 +17,7 @@ from strandline.functions import lexicons as lx
 from strandline.functions.arrow import bound_batches
 from strandline.functions.text import PUNCTUATION
 
-CHUNK, FLUSH_BYTES = 60, 16 << 20
+CHUNK, FLUSH_BYTES, SIEVE_BYTES = 60, 16 << 20, 8 << 20
 _OTHER = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONSONANTS = "bcdfghjklmnpqrstvwxz"
@@ -87,14 +87,14 @@ class Words:
         return ok.to_numpy(zero_copy_only=False)[self.ids]
 
 
-def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches put together to some FLUSH_BYTES."""
+def flushes(batches: Iterator[pa.RecordBatch], most: int = FLUSH_BYTES) -> Iterator[pa.Table]:
+    """Batches put together to some ``most`` bytes."""
     held, size = [], 0
     for b in batches:
-        for at in range(0, b.num_rows, step := max(1, int(b.num_rows * FLUSH_BYTES / max(b.nbytes, 1)))):
+        for at in range(0, b.num_rows, step := max(1, int(b.num_rows * most / max(b.nbytes, 1)))):
             held.append(b.slice(at, step))
             size += held[-1].nbytes
-            if size >= FLUSH_BYTES:
+            if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
                 pa.default_memory_pool().release_unused()
@@ -122,7 +122,7 @@ def suspicious(rows: DataFrame, key: str, text: str) -> DataFrame:
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), *(T.StructField(n, k) for n, k in names)])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in flushes(batches):
+        for t in flushes(batches, SIEVE_BYTES):
             texts = t.column(1).to_pylist()
             w = Words(texts)
             at = np.flatnonzero(sieve(w.vocabulary)[w.ids])
@@ -155,7 +155,7 @@ def suspicious_counts(rows: DataFrame, text: str) -> DataFrame:
     bound_batches(rows.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in flushes(batches):
+        for t in flushes(batches, SIEVE_BYTES):
             w = Words(t.column(0).to_pylist())
             n = np.bincount(w.ids, minlength=len(w.vocabulary))
             kept = np.flatnonzero(sieve(w.vocabulary) & (n > 0))
